@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import WORD, read, stored
+from tidemark.llm.shared import WORD, read, ready, stored
 
 #: One row for each source is held by the driver: the weights are settings, not data.
 MOST_SOURCES = 1_000_000
@@ -95,6 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -
     table gives no rows. Columns of docs other than doc_id, text and source are not read.
     """
     spark, size = docs.sparkSession, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    ready(spark)
     few = stored(docs.select("doc_id", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("skey"), size.alias("size"), F.xxhash64("doc_id").alias("h")), "sizes")
     bins = stored(few.groupBy("skey", "size").agg(F.count("*").alias("n")), "bins")
     rows = bins.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("n").alias("n")).take(MOST_SOURCES + 1)

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, simhash
+from tidemark.llm import decontaminate, mixing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op4_simhash": simhash.op4_simhash,
+        "op5_quality": quality.op5_quality,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": decontaminate.OP7_SQL}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ CHUNK_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 
 _fallback_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,22 +43,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Bounds what Spark sends a Python worker at a time; plans made inside keep the bound."""
-    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    before = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        top = Path(__file__).parents[1]
+        to = Path(tempfile.mkdtemp(prefix="tidemark-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(to, "w") as out:
+            for path in sorted(top.rglob("*.py")):
+                out.write(path, path.relative_to(top.parent))
+        context.addPyFile(str(to))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of lazily run plans of this session."""
+def ready(spark: SparkSession) -> None:
+    """Readies a session for this package's Python functions: their code, and a bound on each Arrow batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bound_batches, components, forest, read, stored, utf8
+from tidemark.llm.shared import ready, components, forest, read, stored, utf8
 
 #: Bits of the three parts of a fingerprint; each part, padded with zero bits, is a word of the Golay code's space.
 PARTS = ((0, 22), (22, 21), (43, 21))
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, most_bits: int
     Repeated rows stay. A row whose fingerprint only rows without doc_id share has component_id null. An empty table
     gives no rows; columns of docs other than doc_id and text are not read.
     """
-    bound_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     prints = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(fingerprints(words_per_shingle), "doc_id long, fp long"), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
     roots = components(link(nodes, most_bits))
