@@ -1,15 +1,65 @@
-"""A training-data pipeline over documents."""
+"""From raw documents to a training mix: filter, deduplicate, decontaminate, redact, mix.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is written as Parquet and
+read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, mixing, pii, quality, simhash
+from tidemark.llm.shared import read, stored
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects."""
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies by shingles of five words."""
+    return simhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten consecutive words of a benchmark item occur."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data; n_chars follows the text."""
+    found = pii.redact(docs).drop("n_entities")
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the number of copies and what it rests on.
+
+    The stages before leave one row for a doc_id; rows without one are mixed, but not returned.
+    """
+    taken = stored(mixing.mix(docs).where("copies > 0").select("doc_id", "size", "source_size", "target", "copies"), "mix")
+    added = [c for c in taken.columns if c != "doc_id"]
+    return docs.drop(*added).join(taken, "doc_id").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("PII", without_personal_data),
+    ("mixing", mixed_sources),
+]
 
-#: Not expressible in SQL.
+#: No SQL: the classifier samples by keyed noise, surrogates are keyed draws, the mix is an iterative optimum.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

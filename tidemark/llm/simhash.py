@@ -173,6 +173,23 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, most_bits: int
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 3) -> DataFrame:
+    """The rows of docs without the near duplicates: of linked documents the one with the smallest doc_id stays, once.
+
+    A group in which no row has a doc_id keeps one row of each text.
+    """
+    docs_id = docs.select(F.col("doc_id").cast("long"), "text")
+    found = stored(near_duplicates(docs_id, words_per_shingle, most_bits), "near-duplicates")
+    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    left = docs.join(gone.where("gone is not null"), F.col("doc_id") == F.col("gone"), "left_anti")
+    if gone.where("gone is null").take(1):
+        left = left.where("doc_id is not null")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if stay.groupBy("doc_id").count().where("count > 1").take(1):
+        left = left.withColumn("~text", F.xxhash64("text")).dropDuplicates(["doc_id", "~text"]).drop("~text")
+    return left
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"), words_per_shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
