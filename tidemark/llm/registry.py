@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, pii, quality, simhash, toxicity
+from tidemark.llm import decontaminate, mixing, pii, quality, simhash, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2_mixing,
         "op4_simhash": simhash.op4_simhash,
         "op5_quality": quality.op5_quality,
+        "op6_substrings": substrings.op6_substrings,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_pii": pii.op10_pii,

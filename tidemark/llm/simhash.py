@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ready, components, forest, read, stored, utf8
+from tidemark.llm.shared import chunks, components, forest, read, ready, stored, utf8
+from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 
 #: Bits of the three parts of a fingerprint; each part, padded with zero bits, is a word of the Golay code's space.
 PARTS = ((0, 22), (22, 21), (43, 21))
@@ -20,6 +21,9 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 LENGTH, GENERATOR, RADIUS = 23, 0b110001110101, 3
 #: Homes of an anchor beyond which they are split over tasks.
 HOT_HOMES = 20_000
+#: All bytes but space and those from tab to carriage return.
+NOT_BLANK = np.ones(256, np.uint8)
+NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = 0
 #: Pairs compared at a time.
 PAIRS = 1 << 21
 
@@ -132,24 +136,24 @@ def compare(most_bits: int):
     return of
 
 
-def link(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
-    """Links (u, v) between the reps of nodes (fp, rep), distinct fingerprints: stars of each component of an anchor.
+def _split(spread: DataFrame, columns: list[str]) -> DataFrame:
+    """spread with salt: an anchor with over HOT_HOMES homes is split, each of its rows meets each block of homes in a task
+    of its own."""
+    hot = stored(spread.where("home").groupBy("anchor").count().where(F.col("count") > HOT_HOMES), "hot-anchors")
+    if not hot.take(1):
+        return spread.select("anchor", F.lit(0).alias("salt"), "home", *columns)
+    blocks = F.coalesce(F.ceil(F.col("count") / HOT_HOMES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64(*columns), blocks).cast("int")
+    every = spread.join(hot, "anchor", "left").select("anchor", "home", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"))
+    return every.select("anchor", "salt", (F.col("home") & (F.col("salt") == F.col("own"))).alias("home"), *columns)
 
-    An anchor with over HOT_HOMES homes is split: each visitor meets each block of homes in a task of its own.
-    """
+
+def link(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
+    """Links (u, v) between the reps of nodes (fp, rep), distinct fingerprints: stars of each component of an anchor."""
     if not 0 <= most_bits <= 3:
         raise ValueError("the covering holds for 3 differing bits at most")
     spread = nodes.select("fp", "rep").mapInArrow(replicate, "anchor long, home boolean, fp long, rep long")
-    hot = stored(spread.where("home").groupBy("anchor").count().where(F.col("count") > HOT_HOMES), "hot-anchors")
-    if hot.take(1):
-        blocks = F.ceil(F.col("count") / HOT_HOMES).cast("int")
-        salts = F.when(F.col("count").isNull(), F.array(F.lit(0))).when(F.col("home"), F.array(F.pmod(F.xxhash64("fp"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-        visits = spread.join(hot, "anchor", "left").select("anchor", F.explode(salts).alias("salt"), "home", "fp", "rep")
-        alone = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        homes = spread.where("home").join(hot, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"), F.lit(False).alias("home"), "fp", "rep", alone.alias("own")).where("salt <> own").drop("own")
-        spread = visits.union(homes)
-    else:
-        spread = spread.select("anchor", F.lit(0).alias("salt"), "home", "fp", "rep")
+    spread = _split(spread, ["fp", "rep"])
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return spread.repartition(n, "anchor", "salt").mapInArrow(compare(most_bits), "u long, v long")
 
@@ -173,19 +177,135 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, most_bits: int
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 3) -> DataFrame:
+#: Of sketches: seeds of the two word fingerprints and of the four parts of the shingle fingerprint.
+WORD_SEEDS, SHINGLE_SEEDS = (1, 2), (11, 12, 13, 14)
+SKETCH = ["w0", "w1", "s0", "s1", "s2", "s3"]
+
+
+def most_apart(similarity: float, bits: int) -> int:
+    """Differing bits of SimHash fingerprints that sets of this Jaccard similarity have, and one standard deviation more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
+def _majority(hashes: np.ndarray, seeds: tuple[int, ...]) -> np.ndarray:
+    """A 64-bit fingerprint of the hashes for each seed."""
+    ones = np.zeros((len(seeds), 64), np.int64)
+    for lo in range(0, len(hashes), 4096):
+        for k, seed in enumerate(seeds):
+            h = mixed(hashes[lo : lo + 4096] + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def sketches(words_per_shingle: int):
+    """For mapInArrow over (doc_id, text): two fingerprints of the distinct words, one of 256 bits of the distinct shingles."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = utf8(batch.column(1))
+            out = np.zeros((len(at) - 1, len(SKETCH)), np.int64)
+            for lo, hi in chunks(at):
+                low = LOWER[raw[at[lo] : at[hi]]]
+                starts, ends = runs(NOT_BLANK[low], at[lo : hi + 1] - at[lo])
+                hashes = span_hashes(prefix(low), starts, ends)
+                bounds = np.searchsorted(starts, at[lo : hi + 1] - at[lo])
+                for i in range(lo, hi):
+                    words = hashes[bounds[i - lo] : bounds[i - lo + 1]]
+                    if len(words):
+                        k = min(words_per_shingle, len(words))
+                        shingles = words[: len(words) - k + 1].copy()
+                        for n in range(1, k):
+                            shingles = mixed(shingles * np.uint64(31) + words[n : len(words) - k + 1 + n])
+                        out[i] = np.concatenate([_majority(np.unique(words), WORD_SEEDS), _majority(np.unique(shingles), SHINGLE_SEEDS)])
+            yield pa.record_batch([batch.column(0), *(pa.array(out[:, k]) for k in range(len(SKETCH)))], names=["doc_id", *SKETCH])
+
+    return of
+
+
+def replicate_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sketch at every anchor that covers one of the six parts of its word fingerprints, with 1 differing bit at most."""
+    first, many, patterns = covering()
+    for batch in batches:
+        whole = pa.Table.from_batches([batch]).combine_chunks()
+        for f in range(2):
+            fp = batch.column(f).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, (shift, n) in enumerate(PARTS):
+                part = (fp >> np.uint64(shift) & np.uint64((1 << n) - 1)).astype(np.uint32)
+                syndrome = _syndrome(part)
+                row, place = _spread(first[syndrome], many[syndrome])
+                anchor = ((part[row] ^ patterns[place]) >> np.uint32(11)).astype(np.int64) + ((3 * f + k) << 12)
+                rest = whole.take(pa.array(row)).to_batches()[0] if len(row) else batch.slice(0, 0)
+                yield pa.record_batch([pa.array(anchor), pa.array(place == first[syndrome][row]), *rest.columns], names=["anchor", "home", *SKETCH, "rep"])
+
+
+def compare_sketches(most_bits: int):
+    """For mapInArrow over (anchor, salt, home, sketch, rep), an anchor and salt in one task: stars of reps that are alike."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not got:
+            return
+        anchor, salt, home, *sketch, rep = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        key = anchor + (salt.astype(np.int64) << 32)
+        order = np.flatnonzero(home)
+        order = order[np.argsort(key[order], kind="stable")]
+        lo = np.searchsorted(key[order], key, "left")
+        n = np.searchsorted(key[order], key, "right") - lo
+        ends = np.cumsum(n)
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            row, place = _spread(lo[at:to], n[at:to])
+            row, other = row + at, order[place]
+            near = rep[row] != rep[other]
+            row, other = row[near], other[near]
+            apart = np.zeros(len(row), np.int64)
+            for s in sketch[2:]:
+                apart += np.bitwise_count(s[row] ^ s[other])
+                close = apart <= most_bits
+                row, other, apart = row[close], other[close], apart[close]
+            u, v = forest(np.concatenate([u, rep[row]]), np.concatenate([v, rep[other]]))
+            at = to
+        yield pa.record_batch({"u": u, "v": v})
+
+    return of
+
+
+def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of docs: near copies by the similarity of their sets of word shingles.
+
+    Words of near copies differ less than their shingles do, so fingerprints of the distinct words find the candidates:
+    anchors are codewords, one of six parts of two such fingerprints must agree but for 1 bit. A candidate pair is linked
+    if the 256-bit fingerprints of its distinct shingles differ in no more bits than documents of this similarity do.
+    The similarity is thus estimated, within about 0.05; component_id is the smallest doc_id that links reach.
+
+    Null and blank texts are alike; rows whose sketch only rows without doc_id share have component_id null.
+    """
+    ready(docs.sparkSession)
+    found = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketches(words_per_shingle), "doc_id long, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
+    nodes = stored(found.groupBy(*SKETCH).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
+    columns = ", ".join(f"{c} long" for c in [*SKETCH, "rep"])
+    spread = _split(nodes.mapInArrow(replicate_sketches, f"anchor long, home boolean, {columns}"), [*SKETCH, "rep"])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(spread.repartition(n, "anchor", "salt").mapInArrow(compare_sketches(most_apart(similarity, 256)), "u long, v long"))
+    of = stored(nodes.join(roots, F.col("rep") == F.col("node"), "left").select(*SKETCH, F.coalesce("root", "rep").alias("component_id")), "classes")
+    return found.join(of, SKETCH, "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without the near duplicates: of linked documents the one with the smallest doc_id stays, once.
 
-    A group in which no row has a doc_id keeps one row of each text.
+    A group in which no row has a doc_id keeps its rows, each text once.
     """
-    docs_id = docs.select(F.col("doc_id").cast("long"), "text")
-    found = stored(near_duplicates(docs_id, words_per_shingle, most_bits), "near-duplicates")
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    found = stored(similar(docs, words_per_shingle, similarity), "near-duplicates")
+    gone = stored(found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     left = docs.join(gone.where("gone is not null"), F.col("doc_id") == F.col("gone"), "left_anti")
     if gone.where("gone is null").take(1):
         left = left.where("doc_id is not null")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if stay.groupBy("doc_id").count().where("count > 1").take(1):
+    if found.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").groupBy("doc_id").count().where("count > 1").take(1):
         left = left.withColumn("~text", F.xxhash64("text")).dropDuplicates(["doc_id", "~text"]).drop("~text")
     return left
 
