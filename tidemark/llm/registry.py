@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, pii, quality, simhash, substrings, toxicity
+from tidemark.llm import decontaminate, mixing, pii, quality, simhash, substrings, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_vectors": vectors.op1_vectors,
         "op2_mixing": mixing.op2_mixing,
         "op4_simhash": simhash.op4_simhash,
         "op5_quality": quality.op5_quality,
