@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, pii, quality, simhash, substrings, toxicity, vectors
+from tidemark.llm import decontaminate, lm, mixing, pii, quality, simhash, substrings, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substrings": substrings.op6_substrings,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_lm": lm.op9_lm,
         "op10_pii": pii.op10_pii,
     }
 
