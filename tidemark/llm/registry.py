@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, lm, mixing, pii, quality, simhash, substrings, toxicity, vectors
+from tidemark.llm import decontaminate, lm, mixing, pii, quality, simhash, substrings, suffixes, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vectors": vectors.op1_vectors,
         "op2_mixing": mixing.op2_mixing,
+        "op3_suffixes": suffixes.op3_suffixes,
         "op4_simhash": simhash.op4_simhash,
         "op5_quality": quality.op5_quality,
         "op6_substrings": substrings.op6_substrings,
