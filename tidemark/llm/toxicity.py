@@ -16,7 +16,7 @@ from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 #: Bytes of the character n-grams, buckets of their vectors, entries of a vector, words of a passage.
 SHORTEST, LONGEST, BUCKETS, ENTRIES, PASSAGE = 3, 6, 1 << 18, 8, 12
 #: Labelled documents of each kind, by order of a hash of their id, that are learnt from, and bytes of their texts.
-MOST_DOCUMENTS, MOST_BYTES = 4000, 6 << 20
+MOST_DOCUMENTS, MOST_BYTES = 4000, 5 << 20
 #: Documents that an n-gram's words must be in for it to have a vector: rarer ones tell documents apart, not classes.
 LEAST_DOCUMENTS = 8
 ROUNDS, WARM_UP, RATE, DECAY = 90, 25, 0.1, 5e-4
@@ -90,8 +90,14 @@ class Model:
             hashes[here] = span_hashes(prefix(low[offsets[a] : offsets[b]]), starts[here] - offsets[a], ends[here] - offsets[a])
         _, first, token = np.unique(hashes, return_index=True, return_inverse=True)
         forms = [low[a:b].tobytes() for a, b in zip(starts[first], ends[first], strict=True)]
-        lengths = np.cumsum([0, *map(len, forms)])
-        word, bucket, _ = subwords(np.frombuffer(b"".join(forms), np.uint8), lengths)
+        del raw, low, starts, ends, hashes, first
+        found = []
+        for lo in range(0, len(forms), 20_000):
+            some = forms[lo : lo + 20_000]
+            of_form, grams, _ = subwords(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+            found.append(((of_form + lo).astype(np.int32), grams.astype(np.int32)))
+        word, bucket = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        del found
         per_word = np.bincount(word, minlength=len(forms))
         in_docs = np.bincount(np.unique(token * np.int64(len(texts)) + row) // len(texts), minlength=len(forms))
         common = np.bincount(bucket, in_docs[word], minlength=BUCKETS) >= LEAST_DOCUMENTS
