@@ -127,7 +127,7 @@ def compare(most_bits: int):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
             row, place = _spread(lo[at:to], n[at:to])
             row, other = row + at, order[place]
-            near = np.bitwise_count(fp[row] ^ fp[other]) <= most_bits
+            near = np.bitwise_count((fp[row] ^ fp[other]).view(np.uint64)) <= most_bits  # of signed numbers it counts the absolute value's
             near &= rep[row] != rep[other]
             u, v = forest(np.concatenate([u, rep[row[near]]]), np.concatenate([v, rep[other[near]]]))
             at = to
@@ -264,7 +264,7 @@ def compare_sketches(most_bits: int):
             row, other = row[near], other[near]
             apart = np.zeros(len(row), np.int64)
             for s in sketch[2:]:
-                apart += np.bitwise_count(s[row] ^ s[other])
+                apart += np.bitwise_count((s[row] ^ s[other]).view(np.uint64))
                 close = apart <= most_bits
                 row, other, apart = row[close], other[close], apart[close]
             u, v = forest(np.concatenate([u, rep[row]]), np.concatenate([v, rep[other]]))
