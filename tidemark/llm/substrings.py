@@ -42,19 +42,22 @@ class Sentences:
         self.row, self.byte = row[first], starts[first]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First sentence, sentences and hash of each span; near a text's end, spans that would cross it are left out."""
+        """First sentence, sentences and hash of each span: the shortest from each sentence on and up to each sentence."""
         n = len(self.row)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        many = np.maximum(np.arange(n) + SENTENCES, np.searchsorted(self.word, self.word[:-1] + LEAST_WORDS, "left"))
-        stop = np.searchsorted(self.row, self.row, "right")
-        at = np.flatnonzero(many <= stop)
-        to = many[at]
+        begin, stop = np.searchsorted(self.row, self.row, "left"), np.searchsorted(self.row, self.row, "right")
+        to = np.maximum(np.arange(n) + SENTENCES, np.searchsorted(self.word, self.word[:-1] + LEAST_WORDS, "left"))
+        last = np.arange(1, n + 1)
+        at = np.minimum(last - SENTENCES, np.searchsorted(self.word, self.word[1:] - LEAST_WORDS, "right") - 1)
+        forth, back = np.flatnonzero(to <= stop), np.flatnonzero(at >= begin)
+        both = np.unique(np.concatenate([forth * (n + 1) + to[forth], at[back] * (n + 1) + last[back]]))
+        at, to = both // (n + 1), both % (n + 1)
         sums = np.zeros(len(self.hashes) + 1, np.uint64)
-        forward, back = powers(len(self.hashes) + 1)
+        forward, inverse = powers(len(self.hashes) + 1)
         np.cumsum(self.hashes * forward[: len(self.hashes)], out=sums[1:])
         lo, hi = self.word[at], self.word[to]
-        return at, to - at, mixed((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64))
+        return at, to - at, mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
 
 
 def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +109,8 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text): each text without the sentences of any repeated span but its first.
 
-    A span is a run of SENTENCES consecutive sentences, with more until it has LEAST_WORDS words; spans are alike if their
-    words are, but for the case of A-Z. The first is the one in the document with the smallest doc_id, and there the
+    A span is a run of SENTENCES consecutive sentences, with more until it has LEAST_WORDS words, the shortest from each
+    sentence on and up to each sentence; spans are alike if their words are, but for the case of A-Z. The first is the one in the document with the smallest doc_id, and there the
     earliest. A batch of documents sends each of its spans on once, so a span that many documents share has as many
     rows in the shuffle as there are batches.
 
