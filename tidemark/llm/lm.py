@@ -21,7 +21,7 @@ from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 from tidemark.llm.toxicity import remainder
 
 #: Hash of the token that ends a text; child of a context that stands for all words which the level leaves out.
-END, OTHER = np.uint64(0xE2D0F7E8), np.uint64(0)
+END, OTHER = np.uint64(0xE2D0F7E8B5A1C94D), np.uint64(0)
 #: Order of the model; a word is in the tries of order n if it is at least one of so many training tokens.
 ORDER, RAREST = 3, {2: 50_000, 3: 2_000}
 #: Taken from each count; steps of a factor of 2 in which probabilities are held, and their number.
@@ -82,9 +82,9 @@ class Segment:
     def counts(self, rows: list, parts: int) -> np.ndarray:
         return self.answers([r for r in rows if r["level"] == 1], (self.keys % np.uint64(parts)).astype(np.int64), len(self.keys), [np.int64])[0]
 
-    def ngrams(self, order: int, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def ngrams(self, order: int, counts: np.ndarray, total: int, rarest: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place of the last token, n-gram number) of each n-gram whose context the trie has, and each n-gram's context and child."""
-        known = (counts * RAREST[order] >= total) & (counts > 0) & (self.keys != END)
+        known = (counts * rarest[order] >= total) & (counts > 0) & (self.keys != END)
         usual = known[self.tokens]
         first = np.concatenate([[0], np.cumsum(self.n)[:-1]])
         place = np.arange(len(self.tokens)) - np.repeat(first, self.n)
@@ -201,14 +201,14 @@ def answer_ngrams(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": part["part"], "segment": part["segment"], "level": part["level"], "answer": rows})
 
 
-def ask_ngrams(parts: int, total: int):
+def ask_ngrams(parts: int, total: int, rarest: dict[int, int]):
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 s = Segment(batch, i)
                 counts = s.counts(batch.column("answers")[i].as_py() or [], parts)
                 for order in range(2, ORDER + 1):
-                    at, number, context, child = s.ngrams(order, counts, total)
+                    at, number, context, child = s.ngrams(order, counts, total, rarest)
                     count = np.bincount(number[s.train[at]], minlength=len(context)).astype(np.uint32)
                     if len(context):
                         yield _asked(s, order, (context % np.uint64(parts)).astype(np.int64), [context, child.astype(np.uint32), count])
@@ -216,7 +216,7 @@ def ask_ngrams(parts: int, total: int):
     return of
 
 
-def score(parts: int, total: int, types: int):
+def score(parts: int, total: int, types: int, rarest: dict[int, int]):
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -226,7 +226,7 @@ def score(parts: int, total: int, types: int):
                 base = (counts[s.tokens] + 1) / (total + types + 1)
                 p = base.copy()
                 for order in range(2, ORDER + 1):
-                    at, number, context, _ = s.ngrams(order, counts, total)
+                    at, number, context, _ = s.ngrams(order, counts, total, rarest)
                     share, rest = s.answers([r for r in rows if r["level"] == order], (context % np.uint64(parts)).astype(np.int64), len(context), [np.uint16, np.uint16])
                     p[at] = probability(share)[number] + probability(rest)[number] * p[at]
                 of_doc = np.repeat(np.arange(len(s.n)), s.n)
@@ -238,7 +238,7 @@ def score(parts: int, total: int, types: int):
     return of
 
 
-def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, rarest: dict[int, int] = RAREST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     The model learns from all rows that held_out does not mark: interpolated absolute discounting of order ORDER over an
@@ -264,8 +264,8 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
         return cut.join(mine, "segment", "left")
 
     counts = with_counts.select("part", "segment", "level", "answer")
-    more = stored(answered(counts).mapInArrow(ask_ngrams(parts, total), ask).groupBy("part", "level").applyInPandas(answer_ngrams, answer), "n-grams")
-    return answered(counts.union(more)).mapInArrow(score(parts, total, types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    more = stored(answered(counts).mapInArrow(ask_ngrams(parts, total, rarest), ask).groupBy("part", "level").applyInPandas(answer_ngrams, answer), "n-grams")
+    return answered(counts.union(more)).mapInArrow(score(parts, total, types, rarest), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

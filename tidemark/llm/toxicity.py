@@ -14,14 +14,14 @@ from tidemark.llm.shared import chunks, read, ready, utf8
 from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 
 #: Bytes of the character n-grams, buckets of their vectors, entries of a vector, words of a passage.
-SHORTEST, LONGEST, BUCKETS, ENTRIES, PASSAGE = 3, 6, 1 << 18, 8, 12
+SHORTEST, LONGEST, BUCKETS, ENTRIES, PASSAGE = 3, 6, 1 << 18, 8, 5
 #: Labelled documents of each kind, by order of a hash of their id, that are learnt from, and bytes of their texts.
 MOST_DOCUMENTS, MOST_BYTES = 4000, 5 << 20
 #: Documents that an n-gram's words must be in for it to have a vector: rarer ones tell documents apart, not classes.
 LEAST_DOCUMENTS = 8
 ROUNDS, WARM_UP, RATE, DECAY = 90, 25, 0.1, 5e-4
-#: Times that a clean document weighs a toxic one.
-CLEAN = 2
+#: Times that a clean document weighs a toxic one; log odds of an empty passage, fixed, so that few words never speak for toxicity.
+CLEAN, PRIOR = 2, -2.5
 
 
 def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +76,8 @@ class Model:
     def __init__(self, texts: list[str], toxic: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
         vectors = rng.normal(0, 0.1, (BUCKETS, ENTRIES))
-        head, bias = rng.normal(0, 0.5, (ENTRIES, 2)), np.zeros(2)
-        self.odds, self.bias = np.zeros(BUCKETS, np.float32), -2.0
+        head = rng.normal(0, 0.5, (ENTRIES, 2))
+        self.odds, self.bias = np.zeros(BUCKETS, np.float32), PRIOR
         if not len(texts) or toxic.all() or not toxic.any():
             return
         raw, offsets = utf8(pa.array(texts, pa.string()))
@@ -108,14 +108,14 @@ class Model:
         used, slot = np.unique(bucket, return_inverse=True)
         share = (1 / per_word.clip(1))[word]
         vectors, y = vectors[used], toxic[of].astype(np.float64)
-        state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, head, bias)]
+        state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, head)]
         some = docs[of] > 0
         balance = np.where(toxic, 1 / toxic.sum(), CLEAN / (~toxic).sum()) / (1 + CLEAN)
         for t in range(1, ROUNDS + 1):
             by_class = vectors @ head
             odds = by_class[:, 1] - by_class[:, 0]
             words = np.bincount(word, odds[slot] * share, minlength=len(forms))
-            z = np.bincount(passage, words[token], minlength=len(of)) / PASSAGE + bias[1] - bias[0]
+            z = np.bincount(passage, words[token], minlength=len(of)) / PASSAGE + PRIOR
             # At first a document's passages share its label; later only the likeliest passage of a toxic one has it.
             weight = balance[of] / docs[of] * some
             if t > WARM_UP:
@@ -129,15 +129,14 @@ class Model:
             each = np.bincount(slot, per_form[word] * share, minlength=len(used))
             difference = head[:, 1] - head[:, 0]
             pull = each @ vectors
-            grads = (each[:, None] * difference, np.stack([-pull, pull], axis=1), np.array([-g.sum(), g.sum()]))
-            for x, grad, (m, v) in zip((vectors, head, bias), grads, state, strict=True):
+            grads = (each[:, None] * difference, np.stack([-pull, pull], axis=1))
+            for x, grad, (m, v) in zip((vectors, head), grads, state, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
                 x -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-12)
             vectors *= 1 - DECAY
         by_class = vectors @ head
         self.odds[used] = by_class[:, 1] - by_class[:, 0]
-        self.bias = float(bias[1] - bias[0])
 
     def scores(self, text: pa.Array) -> np.ndarray:
         """Of each text the largest probability that one of its passages has; a text without words has the empty bag's."""
