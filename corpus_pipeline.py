@@ -37,13 +37,12 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of copies and what it rests on.
-
-    The stages before leave one row for a doc_id; rows without one are mixed, but not returned.
-    """
-    taken = stored(mixing.mix(docs).where("copies > 0").select("doc_id", "size", "source_size", "target", "copies"), "mix")
-    added = [c for c in taken.columns if c != "doc_id"]
-    return docs.drop(*added).join(taken, "doc_id").withColumn("taken", F.col("copies") * F.col("size"))
+    """Documents that the mix takes, with the number of copies and what it rests on."""
+    taken = stored(mixing.mix(docs).where("copies > 0").withColumnRenamed("doc_id", "taken_id"), "mix")
+    added = ["size", "source_size", "target", "copies"]
+    kept = docs.drop(*added, "taken", "mark", "taken_id")
+    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("doc_id", "text") == F.col("mark"))
+    return kept.join(taken, same).select(*(f"`{c}`" for c in kept.columns), *added, (F.col("copies") * F.col("size")).alias("taken"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -69,8 +69,9 @@ def test_simhash_odd_rows(spark, odd, odd_rows, empty):
 
 
 def test_one_of_each_keeps_one_of_near_copies(spark, odd, empty):
-    left = [r.doc_id for r in simhash.one_of_each(odd).collect()]
-    assert sorted(left) == [1, 4, 7, 8, 9, 10, 11, 12, 14, 15]
+    alone = odd.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a text of its own without any id").alias("text"), "lang", "source", "n_chars")
+    left = [r.doc_id for r in simhash.one_of_each(odd.union(alone).union(alone)).collect()]
+    assert sorted(left, key=str) == sorted([1, 4, 7, 8, 9, 10, 11, 12, 14, 15, None], key=str)
     assert simhash.one_of_each(empty).columns == empty.columns and simhash.one_of_each(empty).count() == 0
 
 

@@ -82,7 +82,7 @@ def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, goal: float,
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, copies) for each row of docs.
+    """(doc_id, mark, size, source_size, target, copies) for each row of docs; mark is the XXH64 of doc_id and text.
 
     Rates are those nearest to one copy of each document (in relative entropy) that take each source's target of words:
     min(cap, exp(x * size)) with one multiplier for each source; at a fixed target a source below its size therefore
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -
     """
     spark, size = docs.sparkSession, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     ready(spark)
-    few = stored(docs.select("doc_id", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("skey"), size.alias("size"), F.xxhash64("doc_id").alias("h")), "sizes")
+    few = stored(docs.select("doc_id", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("skey"), size.alias("size"), F.xxhash64("doc_id", "text").alias("mark")), "sizes")
     bins = stored(few.groupBy("skey", "size").agg(F.count("*").alias("n")), "bins")
     rows = bins.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("n").alias("n")).take(MOST_SOURCES + 1)
     if len(rows) > MOST_SOURCES:
@@ -107,8 +107,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -
     x = solve(spark, bins, {k: v for k, v in goal.items() if v > 0}, cap)
     group = max(LEAST_GROUP, -(-sum(r.n for r in order) // MOST_GROUPS))
 
-    split = F.pmod(F.col("h"), F.ceil(F.col("n") / group)).cast("long")
-    dealt = stored(few.join(bins, ["skey", "size"]).select("doc_id", "skey", "size", "h", split.alias("salt")), "dealt")
+    split = F.pmod(F.col("mark"), F.ceil(F.col("n") / group)).cast("long")
+    dealt = stored(few.join(bins, ["skey", "size"]).select("doc_id", "skey", "size", "mark", split.alias("salt")), "dealt")
     counts = stored(dealt.groupBy("skey", "size", "salt").agg(F.count("*").alias("n")), "counts")
 
     def plan(part: pd.DataFrame) -> pd.DataFrame:
@@ -119,9 +119,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -
         return part.assign(copies=round_copies(size, n, rate, goal[key], cap), source_size=words[key], target=goal[key])
 
     plans = stored(counts.groupBy("skey").applyInPandas(plan, "skey string, size long, salt long, n long, copies long, source_size long, target double"), "plans")
-    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy("h", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy("mark", "doc_id"))
     copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("place") <= F.col("copies") % F.col("n"), 1).otherwise(0)
-    return dealt.withColumn("place", place).join(plans, ["skey", "size", "salt"]).select("doc_id", "skey", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return dealt.withColumn("place", place).join(plans, ["skey", "size", "salt"]).select("doc_id", "mark", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,11 +199,12 @@ def _majority(hashes: np.ndarray, seeds: tuple[int, ...]) -> np.ndarray:
 
 
 def sketches(words_per_shingle: int):
-    """For mapInArrow over (doc_id, text): two fingerprints of the distinct words, one of 256 bits of the distinct shingles."""
+    """For mapInArrow over (doc_id, text_hash, text): two fingerprints of the distinct words, one of 256 bits of the distinct
+    shingles."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8(batch.column(1))
+            raw, at = utf8(batch.column(2))
             out = np.zeros((len(at) - 1, len(SKETCH)), np.int64)
             for lo, hi in chunks(at):
                 low = LOWER[raw[at[lo] : at[hi]]]
@@ -218,7 +219,7 @@ def sketches(words_per_shingle: int):
                         for n in range(1, k):
                             shingles = mixed(shingles * np.uint64(31) + words[n : len(words) - k + 1 + n])
                         out[i] = np.concatenate([_majority(np.unique(words), WORD_SEEDS), _majority(np.unique(shingles), SHINGLE_SEEDS)])
-            yield pa.record_batch([batch.column(0), *(pa.array(out[:, k]) for k in range(len(SKETCH)))], names=["doc_id", *SKETCH])
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(out[:, k]) for k in range(len(SKETCH)))], names=["doc_id", "text_hash", *SKETCH])
 
     return of
 
@@ -275,7 +276,7 @@ def compare_sketches(most_bits: int):
 
 
 def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for each row of docs: near copies by the similarity of their sets of word shingles.
+    """(doc_id, text_hash, component_id) for each row of docs: near copies by the similarity of their sets of word shingles.
 
     Words of near copies differ less than their shingles do, so fingerprints of the distinct words find the candidates:
     anchors are codewords, one of six parts of two such fingerprints must agree but for 1 bit. A candidate pair is linked
@@ -285,27 +286,26 @@ def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8
     Null and blank texts are alike; rows whose sketch only rows without doc_id share have component_id null.
     """
     ready(docs.sparkSession)
-    found = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketches(words_per_shingle), "doc_id long, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
+    found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketches(words_per_shingle), "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
     nodes = stored(found.groupBy(*SKETCH).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
     columns = ", ".join(f"{c} long" for c in [*SKETCH, "rep"])
     spread = _split(nodes.mapInArrow(replicate_sketches, f"anchor long, home boolean, {columns}"), [*SKETCH, "rep"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     roots = components(spread.repartition(n, "anchor", "salt").mapInArrow(compare_sketches(most_apart(similarity, 256)), "u long, v long"))
     of = stored(nodes.join(roots, F.col("rep") == F.col("node"), "left").select(*SKETCH, F.coalesce("root", "rep").alias("component_id")), "classes")
-    return found.join(of, SKETCH, "left").select("doc_id", "component_id")
+    return found.join(of, SKETCH, "left").select("doc_id", "text_hash", "component_id")
 
 
 def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without the near duplicates: of linked documents the one with the smallest doc_id stays, once.
 
-    A group in which no row has a doc_id keeps its rows, each text once.
+    Rows without doc_id go if they are linked to one that has it; a group of such rows alone stays, each text once.
     """
     found = stored(similar(docs, words_per_shingle, similarity), "near-duplicates")
-    gone = stored(found.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    left = docs.join(gone.where("gone is not null"), F.col("doc_id") == F.col("gone"), "left_anti")
-    if gone.where("gone is null").take(1):
-        left = left.where("doc_id is not null")
-    if found.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").groupBy("doc_id").count().where("count > 1").take(1):
+    here = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = stored(found.where(~here).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
+    if found.where(here).groupBy("doc_id", "text_hash").count().where("count > 1").take(1):
         left = left.withColumn("~text", F.xxhash64("text")).dropDuplicates(["doc_id", "~text"]).drop("~text")
     return left
 
