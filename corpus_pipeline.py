@@ -42,7 +42,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     added = ["size", "source_size", "target", "copies"]
     kept = docs.drop(*added, "taken", "mark", "taken_id")
     same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("doc_id", "text") == F.col("mark"))
-    return kept.join(taken, same).select(*(f"`{c}`" for c in kept.columns), *added, (F.col("copies") * F.col("size")).alias("taken"))
+    # The mix grows with the documents, so it is joined by a shuffle at every size.
+    return kept.join(taken.hint("merge"), same).select(*(f"`{c}`" for c in kept.columns), *added, (F.col("copies") * F.col("size")).alias("taken"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
