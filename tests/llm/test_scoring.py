@@ -281,6 +281,34 @@ def test_lm_model_against_dictionaries(spark):
         assert found[i].score == pytest.approx(score, abs=2e-3 * len(ts)), i
 
 
+def test_lm_learns_from_rare_words(spark):
+    """By default no n-gram is left out: the scores are those of plain dictionaries of all words, however rare."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", f"r{rng.randrange(900)}"]) for _ in range(30)) + f" only{i // 2} once{i // 2} said{i // 2}") for i in range(120)]
+    held = lambda i: i % 7 == 2
+    found = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), F.col("doc_id") % 7 == 2).collect()}
+    tokens = {i: [*t.split(), None] for i, t in rows}
+    c = Counter(x for i in tokens if not held(i) for x in tokens[i])
+    total, types = sum(c.values()), len(c)
+    grams = {n: Counter((tuple(ts[k - n + 1 : k]), ts[k]) for i, ts in tokens.items() if not held(i) for k in range(n - 1, len(ts))) for n in (2, 3)}
+    wholes, kinds = ({n: Counter() for n in (2, 3)} for _ in range(2))
+    for n in (2, 3):
+        for (context, _), m in grams[n].items():
+            wholes[n][context] += m
+            kinds[n][context] += 1
+    assert total > 2_000
+    for i, ts in tokens.items():
+        score = 0.0
+        for k, w in enumerate(ts):
+            p = (c[w] + 1) / (total + types + 1)
+            for n in (2, 3):
+                context = tuple(ts[k - n + 1 : k])
+                if k >= n - 1 and (whole := wholes[n][context]):
+                    p = max(grams[n][context, w] - lm.DISCOUNT, 0) / whole + lm.DISCOUNT * kinds[n][context] / whole * p
+            score += log10(p)
+        assert found[i].score == pytest.approx(score, abs=2e-3 * len(ts)), i
+
+
 def test_lm_odd_rows(spark, odd, odd_rows, empty):
     found = lm.score_texts(odd.withColumn("n", F.lit(1)), F.col("doc_id") == 7).collect()
     assert len(found) == len(odd_rows) and {r.n_tokens for r in found if r.doc_id in (4, 5, 6)} == {1}

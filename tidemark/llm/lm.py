@@ -22,8 +22,8 @@ from tidemark.llm.toxicity import remainder
 
 #: Hash of the token that ends a text; child of a context that stands for all words which the level leaves out.
 END, OTHER = np.uint64(0xE2D0F7E8B5A1C94D), np.uint64(0)
-#: Order of the model; a word is in the tries of order n if it is at least one of so many training tokens.
-ORDER, RAREST = 3, {2: 50_000, 3: 2_000}
+#: Order of the model.
+ORDER = 3
 #: Taken from each count; steps of a factor of 2 in which probabilities are held, and their number.
 DISCOUNT, STEP, STEPS = 0.75, 1024, 1 << 15
 #: Bits of a child's hash.
@@ -82,9 +82,11 @@ class Segment:
     def counts(self, rows: list, parts: int) -> np.ndarray:
         return self.answers([r for r in rows if r["level"] == 1], (self.keys % np.uint64(parts)).astype(np.int64), len(self.keys), [np.int64])[0]
 
-    def ngrams(self, order: int, counts: np.ndarray, total: int, rarest: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def ngrams(self, order: int, counts: np.ndarray, total: int, rarest: dict[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place of the last token, n-gram number) of each n-gram whose context the trie has, and each n-gram's context and child."""
-        known = (counts * rarest[order] >= total) & (counts > 0) & (self.keys != END)
+        known = (counts > 0) & (self.keys != END)
+        if rarest:
+            known &= counts * rarest[order] >= total
         usual = known[self.tokens]
         first = np.concatenate([[0], np.cumsum(self.n)[:-1]])
         place = np.arange(len(self.tokens)) - np.repeat(first, self.n)
@@ -201,7 +203,7 @@ def answer_ngrams(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": part["part"], "segment": part["segment"], "level": part["level"], "answer": rows})
 
 
-def ask_ngrams(parts: int, total: int, rarest: dict[int, int]):
+def ask_ngrams(parts: int, total: int, rarest: dict[int, int] | None):
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -216,7 +218,7 @@ def ask_ngrams(parts: int, total: int, rarest: dict[int, int]):
     return of
 
 
-def score(parts: int, total: int, types: int, rarest: dict[int, int]):
+def score(parts: int, total: int, types: int, rarest: dict[int, int] | None):
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -238,13 +240,15 @@ def score(parts: int, total: int, types: int, rarest: dict[int, int]):
     return of
 
 
-def score_texts(docs: DataFrame, held_out: Column, rarest: dict[int, int] = RAREST) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, rarest: dict[int, int] | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     The model learns from all rows that held_out does not mark: interpolated absolute discounting of order ORDER over an
     add-one unigram model. Batches of documents become segments of token numbers. A segment sends its distinct tokens and
     n-grams, with their counts in it, to the part of their context's hash; there a trie of the part's contexts is built
     and asked. So no task holds the vocabulary or the model, and a frequent n-gram has one row for each segment.
+    Every training n-gram is learnt from. With rarest, the tries of order n only hold words that are at least one of
+    rarest[n] training tokens.
 
     Tokens are the words of the whole text, A-Z lower-cased, and one end. Null and blank texts have the end alone.
     Repeated rows are learnt from and scored each. With no training rows, tokens are unknown and score log10(1). An empty
