@@ -159,6 +159,29 @@ def test_sentence_spans(spark):
     assert found[40].text is None and found[42].text == " \n" and found[44].n_removed == found[44].n_sentences
 
 
+@pytest.mark.parametrize("shape", ["two sentences", "inside sentences", "one sentence"])
+def test_passages_of_few_sentences(spark, shape):
+    """Passages of 51 to 64 words that hold less than three whole sentences go from all copies but the first, nothing else does."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    rows, later, alone = [], set(), set()
+    for k in range(60):
+        sizes = {"two sentences": (rng.randrange(26, 33), rng.randrange(26, 33)), "inside sentences": (rng.randrange(1, 20), rng.randrange(20, 32)), "one sentence": (51,)}[shape]
+        passage = ". ".join(line(n) for n in sizes)
+        if shape == "inside sentences":
+            passage += ". " + line(max(1, 51 - sum(sizes)))
+        dot = "." if shape == "two sentences" else ""
+        for copy in range(2):
+            around = [line(rng.randrange(1, 31)) + dot for _ in range(2)]
+            rows.append((2 * k + copy, f"{line(9)}. {around[0]} {passage}{dot} {around[1]}. {line(9)}."))
+            (later if copy else alone).add(2 * k + copy)
+    found = {r.doc_id: r for r in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert not [i for i in later if not found[i].n_removed] and not [i for i in alone if found[i].n_removed]
+    for i in later:
+        gone = len(rows[i][1].split()) - len(found[i].text.split())
+        assert 51 - 2 * (substrings.WINDOW - 1) <= gone <= 64, i
+
+
 def test_sentence_spans_odd_rows(spark, odd, odd_rows, empty):
     found = substrings.deduplicate(odd.withColumn("span", F.lit(1))).collect()
     assert len(found) == len(odd_rows)

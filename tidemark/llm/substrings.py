@@ -14,9 +14,9 @@ from tidemark.llm.shared import chunks, read, ready, stored, utf8
 from tidemark.llm.simhash import NOT_BLANK
 from tidemark.llm.tokens import LOWER, mixed, powers, prefix, runs, span_hashes
 
-#: Sentences of a span, the words it has at least (it takes in more sentences until then), and words from which on a
-#: sentence is cut, after words whose hash is divisible by CUT, wherever it stands.
-SENTENCES, LEAST_WORDS, LONG, CUT = 3, 12, 32, 8
+#: Sentences of a span, the words it has at least (it takes in more sentences until then) and at most. A sentence of WINDOW
+#: words or more is cut after the word with the least hash of each WINDOW of its words, wherever it stands.
+SENTENCES, LEAST_WORDS, MOST_WORDS, WINDOW = 3, 12, 25, 16
 NO_ID = 2**63 - 1
 
 _STOP = np.zeros(256, bool)
@@ -24,7 +24,8 @@ _STOP[list(b".!?")] = True
 
 
 class Sentences:
-    """Of the rows of some texts: each sentence's row, first byte and words; a sentence's words end with . ! ? or a line."""
+    """Of the rows of some texts: each sentence's row, first byte and words; a sentence's words end with . ! ? or a line,
+    long ones are cut."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         low = LOWER[raw]
@@ -35,29 +36,50 @@ class Sentences:
         if len(starts):
             lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
             last[:-1] = _STOP[raw[ends[:-1] - 1]] | (row[1:] != row[:-1]) | (lines[starts[1:]] > lines[ends[:-1]])
-            length = np.diff(np.flatnonzero(np.concatenate([[True], last])))
-            last |= np.repeat(length > LONG, length) & (self.hashes % np.uint64(CUT) == 0) if len(length) and length.sum() == len(last) else False
+        self.ends = np.flatnonzero(last) + 1
+        last[self._least()] = True
         first = np.flatnonzero(np.concatenate([[True], last[:-1]])) if len(starts) else np.zeros(0, np.int64)
         self.word = np.concatenate([first, [len(starts)]])
         self.row, self.byte = row[first], starts[first]
 
+    def _least(self) -> np.ndarray:
+        """The first word of the least hash in each WINDOW words of a sentence."""
+        least, at, reach = self.hashes, np.arange(len(self.hashes)), 1
+        if len(at) < WINDOW:
+            return at[:0]
+        while reach < WINDOW:
+            step = min(reach, WINDOW - reach)
+            right = least[step:] < least[: len(least) - step]
+            least, at, reach = np.where(right, least[step:], least[: len(least) - step]), np.where(right, at[step:], at[: len(at) - step]), reach + step
+        before = np.searchsorted(self.ends, np.arange(len(at)), "right")
+        return np.unique(at[self.ends[before] >= np.arange(len(at)) + WINDOW])
+
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First sentence, sentences and hash of each span: the shortest from each sentence on and up to each sentence."""
+        """First sentence, sentences and hash of each span: from each sentence on and up to each sentence.
+
+        Where the fewest whole sentences that make a span have over MOST_WORDS words, it is just so many words instead, and
+        the sentences are those wholly in it. So a span's words depend on nothing around them: of any MOST_WORDS + WINDOW
+        words that two texts share, both have a span.
+        """
         n = len(self.row)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        begin, stop = np.searchsorted(self.row, self.row, "left"), np.searchsorted(self.row, self.row, "right")
-        to = np.maximum(np.arange(n) + SENTENCES, np.searchsorted(self.word, self.word[:-1] + LEAST_WORDS, "left"))
-        last = np.arange(1, n + 1)
-        at = np.minimum(last - SENTENCES, np.searchsorted(self.word, self.word[1:] - LEAST_WORDS, "right") - 1)
-        forth, back = np.flatnonzero(to <= stop), np.flatnonzero(at >= begin)
-        both = np.unique(np.concatenate([forth * (n + 1) + to[forth], at[back] * (n + 1) + last[back]]))
-        at, to = both // (n + 1), both % (n + 1)
-        sums = np.zeros(len(self.hashes) + 1, np.uint64)
-        forward, inverse = powers(len(self.hashes) + 1)
+        start, stop = self.word[:-1], self.word[1:]
+        low, high = (self.word[np.searchsorted(self.row, self.row, side)] for side in ("left", "right"))
+        begins = np.concatenate([[0], self.ends[:-1]])
+        to = np.maximum(np.searchsorted(self.ends, start, "right") + SENTENCES - 1, np.searchsorted(self.ends, start + LEAST_WORDS, "left"))
+        to = np.minimum(np.concatenate([self.ends, [len(self.hashes) + MOST_WORDS]])[np.minimum(to, len(self.ends))], start + MOST_WORDS)
+        at = np.minimum(np.searchsorted(begins, stop, "left") - SENTENCES, np.searchsorted(begins, stop - LEAST_WORDS, "right") - 1)
+        at = np.maximum(np.where(at < 0, -MOST_WORDS, begins[np.maximum(at, 0)]), stop - MOST_WORDS)
+        forth, back = to <= high, at >= low
+        size = len(self.hashes) + 1
+        both = np.unique(np.concatenate([start[forth] * size + to[forth], at[back] * size + stop[back]]))
+        lo, hi = both // size, both % size
+        sums = np.zeros(size, np.uint64)
+        forward, inverse = powers(size)
         np.cumsum(self.hashes * forward[: len(self.hashes)], out=sums[1:])
-        lo, hi = self.word[at], self.word[to]
-        return at, to - at, mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+        first = np.searchsorted(self.word, lo, "left")
+        return first, np.searchsorted(self.word, hi, "right") - 1 - first, mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
 
 
 def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +132,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text): each text without the sentences of any repeated span but its first.
 
     A span is a run of SENTENCES consecutive sentences, with more until it has LEAST_WORDS words, the shortest from each
-    sentence on and up to each sentence; spans are alike if their words are, but for the case of A-Z. The first is the one in the document with the smallest doc_id, and there the
+    sentence on and up to each sentence, or MOST_WORDS words if that is less. Long sentences are cut by their words, so of
+    any passage of MOST_WORDS + WINDOW words, texts that share it share a span, whatever surrounds it. Spans are alike if their words are, but for the case of A-Z. The first is the one in the document with the smallest doc_id, and there the
     earliest. A batch of documents sends each of its spans on once, so a span that many documents share has as many
     rows in the shuffle as there are batches.
 
-    Null texts stay null, blank ones as they are; a text of fewer sentences has no span. Rows without doc_id count as one
+    Null texts stay null, blank ones as they are; a text of fewer sentences and words has no span. Rows without doc_id count as one
     document after all others; repeated rows are the same document and keep what it keeps. An empty table gives no rows.
     """
     ready(docs.sparkSession)
