@@ -93,6 +93,30 @@ def test_near_copies_by_similarity(spark):
     assert sum(roots[i] == i // 4 * 4 for i in roots) >= 0.97 * len(roots)
 
 
+@pytest.mark.parametrize("edit", ["appended", "block", "scattered"])
+def test_near_copies_by_exact_similarity(spark, edit):
+    """Copies are linked just if the Jaccard similarity of their five-word shingles is 0.8 or more, whatever the edit."""
+    rng = random.Random(6)
+    line = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shingles = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    rows, alike = [], []
+    for k in range(150):
+        text = line(rng.randrange(100, 400))
+        n, at = round(len(text) * rng.uniform(0.02, 0.3)), rng.randrange(len(text) // 2)
+        if edit == "appended":
+            copy = text + line(n)
+        elif edit == "block":
+            copy = text[:at] + line(n // 2) + text[at + n // 2 :]
+        else:
+            copy = [w if rng.random() > n / len(text) / 6 else "new" for w in text]
+        a, b = shingles(text), shingles(copy)
+        alike.append(len(a & b) >= 0.8 * len(a | b))
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+    assert 20 < sum(alike) < 150
+    roots = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [roots[2 * k + 1] == 2 * k for k in range(150)] == alike and all(roots[2 * k] == 2 * k for k in range(150))
+
+
 def test_suffixes_contract(spark, odd_rows, empty):
     rng = random.Random(9)
     passage = words(rng, 40)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.shared import chunks, components, forest, read, ready, stored, utf8
 from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
@@ -177,15 +178,20 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, most_bits: int
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Of sketches: seeds of the two word fingerprints and of the four parts of the shingle fingerprint.
-WORD_SEEDS, SHINGLE_SEEDS = (1, 2), (11, 12, 13, 14)
-SKETCH = ["w0", "w1", "s0", "s1", "s2", "s3"]
+#: Seeds of the two parts of a 128-bit fingerprint of shingles; the first shingles of a set by which stars of candidates form;
+#: size below which fingerprints are not asked.
+SEEDS, FEW, SMALL = (11, 12), 4, 64
 
 
 def most_apart(similarity: float, bits: int) -> int:
-    """Differing bits of SimHash fingerprints that sets of this Jaccard similarity have, and one standard deviation more."""
+    """Differing bits of SimHash fingerprints that sets of this Jaccard similarity have, and six standard deviations more."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + 6 * (bits * share * (1 - share)) ** 0.5)
+
+
+def _least(share: float, n):
+    """The least whole number that is no less than this share of n."""
+    return np.ceil(np.asarray(n) * share - 1e-9).astype(np.int64)
 
 
 def _majority(hashes: np.ndarray, seeds: tuple[int, ...]) -> np.ndarray:
@@ -198,14 +204,15 @@ def _majority(hashes: np.ndarray, seeds: tuple[int, ...]) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def sketches(words_per_shingle: int):
-    """For mapInArrow over (doc_id, text_hash, text): two fingerprints of the distinct words, one of 256 bits of the distinct
-    shingles."""
+def sets(words_per_shingle: int, similarity: float):
+    """For mapInArrow over (doc_id, text_hash, text): of each set of distinct shingles a hash, the size, a fingerprint of 128 bits,
+    the least hashes (one of which any set so similar has, too) and 32 bits of all hashes."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(2))
-            out = np.zeros((len(at) - 1, len(SKETCH)), np.int64)
+            out, n = np.zeros((len(at) - 1, 3), np.int64), np.zeros(len(at) - 1, np.int64)
+            prefixes, members = [b""] * len(n), [b""] * len(n)
             for lo, hi in chunks(at):
                 low = LOWER[raw[at[lo] : at[hi]]]
                 starts, ends = runs(NOT_BLANK[low], at[lo : hi + 1] - at[lo])
@@ -216,61 +223,86 @@ def sketches(words_per_shingle: int):
                     if len(words):
                         k = min(words_per_shingle, len(words))
                         shingles = words[: len(words) - k + 1].copy()
-                        for n in range(1, k):
-                            shingles = mixed(shingles * np.uint64(31) + words[n : len(words) - k + 1 + n])
-                        out[i] = np.concatenate([_majority(np.unique(words), WORD_SEEDS), _majority(np.unique(shingles), SHINGLE_SEEDS)])
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(out[:, k]) for k in range(len(SKETCH)))], names=["doc_id", "text_hash", *SKETCH])
+                        for m in range(1, k):
+                            shingles = mixed(shingles * np.uint64(31) + words[m : len(words) - k + 1 + m])
+                        shingles = np.unique(shingles)
+                        n[i] = len(shingles)
+                        whole = mixed(np.array([mixed(shingles).sum(dtype=np.uint64)], np.uint64) + np.uint64(n[i]))
+                        out[i] = np.concatenate([whole.view(np.int64), _majority(shingles, SEEDS)])
+                        prefixes[i] = shingles[: n[i] - _least(similarity, n[i]) + 1].tobytes()
+                        members[i] = (shingles >> np.uint64(32)).astype(np.uint32).tobytes()
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(out[:, k]) for k in range(3)), pa.array(n), pa.array(prefixes, pa.binary()), pa.array(members, pa.binary())], names=["doc_id", "text_hash", "node", "f0", "f1", "n", "prefix", "members"])
 
     return of
 
 
-def replicate_sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each sketch at every anchor that covers one of the six parts of its word fingerprints, with 1 differing bit at most."""
-    first, many, patterns = covering()
-    for batch in batches:
-        whole = pa.Table.from_batches([batch]).combine_chunks()
-        for f in range(2):
-            fp = batch.column(f).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, (shift, n) in enumerate(PARTS):
-                part = (fp >> np.uint64(shift) & np.uint64((1 << n) - 1)).astype(np.uint32)
-                syndrome = _syndrome(part)
-                row, place = _spread(first[syndrome], many[syndrome])
-                anchor = ((part[row] ^ patterns[place]) >> np.uint32(11)).astype(np.int64) + ((3 * f + k) << 12)
-                rest = whole.take(pa.array(row)).to_batches()[0] if len(row) else batch.slice(0, 0)
-                yield pa.record_batch([pa.array(anchor), pa.array(place == first[syndrome][row]), *rest.columns], names=["anchor", "home", *SKETCH, "rep"])
+def replicate_sets(similarity: float, few: bool):
+    """For mapInArrow over (node, f0, f1, n, root, prefix): each set at its least hashes, or at a few of them. At home it meets
+    sets of its size and more, which need not be so many."""
 
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(3).to_numpy(zero_copy_only=False)
+            found = [np.frombuffer(x, np.int64) for x in batch.column(5).to_pylist()]
+            many = np.array([len(x) for x in found], np.int64)
+            taken = np.minimum(many, FEW) if few else many
+            row, place = _spread(np.zeros(len(many), np.int64), taken)
+            anchor = np.concatenate([x[:t] for x, t in zip(found, taken, strict=True)]) if len(found) else np.zeros(0, np.int64)
+            home = place <= (n - _least(2 * similarity / (1 + similarity), n))[row]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1, 2, 3, 4)]
+            yield pa.record_batch([pa.array(x) for x in (anchor, home, place, *columns)], names=["anchor", "home", "place", "node", "f0", "f1", "n", "root"])
 
-def compare_sketches(most_bits: int):
-    """For mapInArrow over (anchor, salt, home, sketch, rep), an anchor and salt in one task: stars of reps that are alike."""
+    return of
+
+
+def compare_sets(similarity: float):
+    """For mapInArrow over (anchor, salt, home, place, node, f0, f1, n, root), an anchor and salt in one task: pairs of nodes with
+    different roots that may be alike, by sizes, places and fingerprints."""
+    most = most_apart(similarity, 128)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not got:
             return
-        anchor, salt, home, *sketch, rep = (np.concatenate(x) for x in zip(*got, strict=True))
+        anchor, salt, home, spot, node, f0, f1, n, root = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
         key = anchor + (salt.astype(np.int64) << 32)
         order = np.flatnonzero(home)
         order = order[np.argsort(key[order], kind="stable")]
         lo = np.searchsorted(key[order], key, "left")
-        n = np.searchsorted(key[order], key, "right") - lo
-        ends = np.cumsum(n)
-        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        many = np.searchsorted(key[order], key, "right") - lo
+        ends = np.cumsum(many)
         at = 0
         while at < len(key):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            row, place = _spread(lo[at:to], n[at:to])
+            row, place = _spread(lo[at:to], many[at:to])
             row, other = row + at, order[place]
-            near = rep[row] != rep[other]
+            near = (root[row] != root[other]) & (n[other] <= n[row]) & (n[other] >= _least(similarity, n[row]))
+            row, other = row[near], other[near]
+            both = np.minimum(n[row] - spot[row], n[other] - spot[other])
+            near = both >= _least(similarity / (1 + similarity), n[row] + n[other])
+            row, other = row[near], other[near]
+            near = np.bitwise_count((f0[row] ^ f0[other]).view(np.uint64)).astype(np.int64) + np.bitwise_count((f1[row] ^ f1[other]).view(np.uint64)) <= most
+            near |= n[row] < SMALL  # ties make the bits of small sets differ more
             row, other = row[near], other[near]
-            apart = np.zeros(len(row), np.int64)
-            for s in sketch[2:]:
-                apart += np.bitwise_count((s[row] ^ s[other]).view(np.uint64))
-                close = apart <= most_bits
-                row, other, apart = row[close], other[close], apart[close]
-            u, v = forest(np.concatenate([u, rep[row]]), np.concatenate([v, rep[other]]))
+            pairs = np.unique(np.stack([np.minimum(node[row], node[other]), np.maximum(node[row], node[other])]), axis=1)
+            yield pa.record_batch({"a": pairs[0], "b": pairs[1]})
             at = to
-        yield pa.record_batch({"u": u, "v": v})
+
+    return of
+
+
+def verify_sets(similarity: float):
+    """For mapInArrow over (u, v, members of both): the links (u, v) that are as similar."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint32) for k in (2, 3))
+                both = np.sort(np.concatenate([x, y]))
+                good[i] = np.count_nonzero(both[1:] == both[:-1]) >= _least(similarity / (1 + similarity), len(both))
+            yield batch.select([0, 1]).filter(pa.array(good))
 
     return of
 
@@ -278,22 +310,42 @@ def compare_sketches(most_bits: int):
 def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, component_id) for each row of docs: near copies by the similarity of their sets of word shingles.
 
-    Words of near copies differ less than their shingles do, so fingerprints of the distinct words find the candidates:
-    anchors are codewords, one of six parts of two such fingerprints must agree but for 1 bit. A candidate pair is linked
-    if the 256-bit fingerprints of its distinct shingles differ in no more bits than documents of this similarity do.
-    The similarity is thus estimated, within about 0.05; component_id is the smallest doc_id that links reach.
+    Two texts are linked if the Jaccard similarity of their distinct shingles is as high; component_id is the smallest doc_id
+    that links reach. Candidates are found by prefix filtering, which loses none: so similar sets have one of their least
+    hashes in common, whatever the edit. A candidate's size, place of that hash and 128-bit SimHash (which tells six standard
+    deviations apart) must admit the similarity; then it is counted, with 32 bits of each shingle's hash. At first each
+    text is only compared with the first at each of a few hashes; what that links is not compared again, so a large group
+    of near copies takes few pairs.
 
-    Null and blank texts are alike; rows whose sketch only rows without doc_id share have component_id null.
+    Null and blank texts are alike; rows whose set only rows without doc_id share have component_id null.
     """
     ready(docs.sparkSession)
-    found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketches(words_per_shingle), "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in SKETCH)), "sketches")
-    nodes = stored(found.groupBy(*SKETCH).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
-    columns = ", ".join(f"{c} long" for c in [*SKETCH, "rep"])
-    spread = _split(nodes.mapInArrow(replicate_sketches, f"anchor long, home boolean, {columns}"), [*SKETCH, "rep"])
+    found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sets(words_per_shingle, similarity), "doc_id long, text_hash long, node long, f0 long, f1 long, n long, prefix binary, members binary"), "sets")
+    least = F.min(F.struct("doc_id", "f0", "f1", "n", "prefix")).alias("x")
+    nodes = stored(found.where("doc_id is not null").groupBy("node").agg(least).select("node", F.col("x.doc_id").alias("rep"), "x.f0", "x.f1", "x.n", "x.prefix"), "nodes")
+    spread = "anchor long, home boolean, place long, node long, f0 long, f1 long, n long, root long"
+    reps = nodes.select("node", "rep")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct(), "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        mine = found.where("doc_id is not null").select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"]).join(reps, "node")
+        mine = stored(mine, "members")
+        u, v = (mine.select(F.col("node").alias(x), F.col("rep").alias(y), F.col("members").alias(z)) for x, y, z in (("a", "u", "x"), ("b", "v", "y")))
+        return stored(pairs.join(u, "a").join(v, "b").select("u", "v", "x", "y").mapInArrow(verify_sets(similarity), "u long, v long"), "links")
+
+    first = nodes.select("node", "f0", "f1", "n", F.col("rep").alias("root"), "prefix").mapInArrow(replicate_sets(similarity, True), spread)
+    star = first.select("anchor", "node").withColumn("a", F.min("node").over(Window.partitionBy("anchor"))).where("a <> node")
+    some = linked(star.select("a", F.col("node").alias("b")))
+    roots = components(some)
+    rooted = nodes.join(roots.toDF("of", "root"), F.col("rep") == F.col("of"), "left")
+    rest = rooted.select("node", "f0", "f1", "n", F.coalesce("root", "rep").alias("root"), "prefix").mapInArrow(replicate_sets(similarity, False), spread)
+    columns = ["place", "node", "f0", "f1", "n", "root"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    roots = components(spread.repartition(n, "anchor", "salt").mapInArrow(compare_sketches(most_apart(similarity, 256)), "u long, v long"))
-    of = stored(nodes.join(roots, F.col("rep") == F.col("node"), "left").select(*SKETCH, F.coalesce("root", "rep").alias("component_id")), "classes")
-    return found.join(of, SKETCH, "left").select("doc_id", "text_hash", "component_id")
+    more = linked(_split(rest, columns).repartition(n, "anchor", "salt").mapInArrow(compare_sets(similarity), "a long, b long"))
+    roots = components(some.union(more)).toDF("of", "root")
+    of = stored(reps.join(roots, F.col("rep") == F.col("of"), "left").select("node", F.coalesce("root", "rep").alias("component_id")), "classes")
+    return found.select("doc_id", "text_hash", "node").join(of, "node", "left").select("doc_id", "text_hash", "component_id")
 
 
 def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
