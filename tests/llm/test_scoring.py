@@ -349,6 +349,21 @@ def test_surrogates(spark):
     assert {r.text for r in pii.redact(docs, "k").collect()} == {r.text for r in found.values()} and pii.redact(docs, "other").where("doc_id = 0").first().text != found[0].text
 
 
+@pytest.mark.parametrize("inline", [pii.MOST_INLINE, 0])
+def test_names_keep_coreference(spark, inline):
+    """A person has one surrogate with any title, with a dot and without, and where no title stands; in other texts words stay."""
+    text = "Mrs. Anna Smith came. Mrs Anna Smith left; Mrs Smith, Mrs. Smith and Anna Smith wrote. Smith slept; Smithers did not. Mr Smith met Mr Rost."
+    docs = spark.createDataFrame([(1, text), (2, "Anna Smith"), (3, "Mr Paul Smith")], "doc_id long, text string")
+    before, pii.MOST_INLINE = pii.MOST_INLINE, inline
+    try:
+        found = {r.doc_id: r for r in pii.redact(docs).collect()}
+    finally:
+        pii.MOST_INLINE = before
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. Mrs \1 \2 left; Mrs \2, Mrs\. \2 and \1 \2 wrote\. \2 slept; Smithers did not\. Mr \2 met Mr (\w+)\.", found[1].text)
+    assert m and found[1].n_entities == 8 and len({*m.groups(), "Anna", "Smith", "Rost"}) == 6 and m[1][:3] in {x[:3] for x in pii.GIVEN["latin", "f"]}
+    assert found[2].text == "Anna Smith" and re.fullmatch(rf"Mr \w+ {m[2]}", found[3].text) and "Paul " not in found[3].text
+
+
 @pytest.mark.parametrize("inline", [pii.MOST_INLINE, 3])
 def test_surrogates_stay_distinct_where_they_collide(spark, inline):
     """60 surnames for 16 surrogates: first draws collide, the exceptions' ways agree, none is another's entity."""

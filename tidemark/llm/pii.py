@@ -23,6 +23,8 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Г-жа)\b"
+
 #: Given names by script and gender, and family names by script.
 GIVEN = {
     ("latin", "f"): ["Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Ines", "Julia", "Karin", "Lydia", "Marta", "Nora", "Olga", "Paula"],
@@ -46,8 +48,8 @@ SEPARATORS = r"[ .()\-]"
 
 
 def kind(entity: Column) -> Column:
-    """The first pattern that the whole entity matches."""
-    return reduce(lambda rest, x: F.when(entity.rlike(f"^(?:{x[1]})$"), x[0]).otherwise(rest), reversed(PATTERNS.items()), F.lit("other"))
+    """The first pattern that the whole entity matches; what matches none is a name without its title."""
+    return reduce(lambda rest, x: F.when(entity.rlike(f"^(?:{x[1]})$"), x[0]).otherwise(rest), reversed(PATTERNS.items()), F.lit("name"))
 
 
 def _numeric(type_: Column) -> Column:
@@ -76,6 +78,42 @@ def _number(digest: Column, at: int, digits: int = 12) -> Column:
     return F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
 
 
+def _bare(entity: Column) -> Column:
+    """The words of a name without its title."""
+    return F.split(F.regexp_replace(entity, rf"^{TITLE} ", ""), " ")
+
+
+def _family(entity: Column) -> Column:
+    return F.element_at(_bare(entity), -1)
+
+
+def _given(entity: Column, names: Column) -> Column:
+    """f or m, by the title of the name or of one that ends so, and the given name; null if there is none."""
+    female = entity.rlike(FEMALE) | F.exists(names, lambda x: x.endswith(F.concat(F.lit(" "), entity)) & x.rlike(FEMALE))
+    return F.when(F.size(_bare(entity)) > 1, F.concat(F.when(female, "f ").otherwise("m "), F.element_at(_bare(entity), 1)))
+
+
+def _parts(entity: Column, type_: Column, names: Column) -> Column:
+    """(type, entity) of what has a surrogate of its own: of a name the family name and the given name."""
+    part = lambda t, e: F.struct(t.alias("type"), e.alias("entity"))
+    named = F.filter(F.array(part(F.lit("family"), _family(entity)), part(F.lit("given"), _given(entity, names))), lambda x: x["entity"].isNotNull())
+    return F.when(type_ == "name", named).otherwise(F.array(part(type_, canonical(entity, type_))))
+
+
+def _titled(text: Column) -> Column:
+    """The distinct names in a text that a title introduces."""
+    return F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), F.array().cast("array<string>")))
+
+
+def _pattern(names: Column) -> Column:
+    """ANY, and the family names of these names wherever they stand, with a given name of theirs before or without."""
+    either = lambda x: F.array_join(F.array_distinct(x), "|")
+    givens = F.transform(F.filter(names, lambda x: F.size(_bare(x)) > 1), lambda x: F.element_at(_bare(x), 1))
+    before = F.when(F.size(givens) > 0, F.concat(F.lit("(?:(?:"), either(givens), F.lit(") )?"))).otherwise("")
+    mention = F.concat(F.lit(ANY + r"|(?<!\p{L})"), before, F.lit("(?:"), either(F.transform(names, _family)), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(names) > 0, mention).otherwise(ANY)
+
+
 def draws(entity: Column, type_: Column, attempt: Column, key: str) -> Column:
     """128 hex digits fixed by key, type, entity and attempt."""
     return F.concat(_draw(key, type_, entity, attempt), _draw(key, "more", type_, entity, attempt))
@@ -103,7 +141,7 @@ def surrogate(entity: Column, type_: Column, digest: Column, attempt: Column) ->
 
     A mail address stands in a domain reserved for examples, an IP address in a block that is never routed; a card number
     keeps its length and whether its check digit is right, a phone number its zone, a secret its alphabet and known
-    prefix, a bank account its country, a name its title, gender (by title), script and number of words.
+    prefix, a bank account its country, a name its script. A given name is preceded by f or m, for its gender, and a space.
     """
     shaped = _same_shape(entity, digest)
     n = [_number(digest, 1 + 12 * i) for i in range(5)]
@@ -119,14 +157,11 @@ def surrogate(entity: Column, type_: Column, digest: Column, attempt: Column) ->
     iban = F.concat(F.substring(entity, 1, 2), F.substr(shaped, F.lit(3)))
 
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
-    female = entity.rlike(r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Г-жа)\b")
-    words = F.split(entity, " ")
 
     def named(script: str) -> Column:
         more = F.concat_ws("", *[F.element_at(F.array(*map(F.lit, SYLLABLES[script])), F.pmod(F.shiftright(n[4], 4 * i), F.lit(16)).cast("int") + 1) for i in range(5)])
-        family = F.concat(pick(FAMILY[script], n[1]), F.when(attempt > 0, more).otherwise(""))
-        given = F.when(female, pick(GIVEN[script, "f"], n[0])).otherwise(pick(GIVEN[script, "m"], n[0]))
-        return F.when(F.size(words) > 2, F.concat_ws(" ", F.element_at(words, 1), given, family)).otherwise(F.concat_ws(" ", F.element_at(words, 1), family))
+        given = F.when(entity.startswith("f "), F.concat(F.lit("f "), pick(GIVEN[script, "f"], n[0]))).otherwise(F.concat(F.lit("m "), pick(GIVEN[script, "m"], n[0])))
+        return F.concat(F.when(type_ == "family", pick(FAMILY[script], n[1])).otherwise(given), F.when(attempt > 0, more).otherwise(""))
 
     return (
         F.when(type_ == "email", email)
@@ -134,7 +169,7 @@ def surrogate(entity: Column, type_: Column, digest: Column, attempt: Column) ->
         .when(type_.isin("secret", "phone"), prefixed)
         .when(type_ == "iban", iban)
         .when(type_ == "card", _checked(entity, shaped))
-        .when(type_ == "name", F.when(cyrillic, named("cyrillic")).otherwise(named("latin")))
+        .when(type_.isin("family", "given"), F.when(cyrillic, named("cyrillic")).otherwise(named("latin")))
         .otherwise(shaped)
     )
 
@@ -181,7 +216,8 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
 def redact(docs: DataFrame, key: str = "tidemark") -> DataFrame:
     """docs with text replaced and n_entities added, the number of replacements.
 
-    An entity is a match of PATTERNS. The same entity (addresses whatever their case, numbers whatever their separators)
+    An entity is a match of PATTERNS, or a family name that a title introduces elsewhere in the text, with a given name so
+    introduced or without. Titles stay; family names have surrogates of their own, and given names by gender. The same entity (addresses whatever their case, numbers whatever their separators)
     has the same surrogate wherever it stands; different ones have different surrogates. All else in a text stays.
 
     A surrogate is a function of key and entity, so texts are rewritten where they are read, without a shuffle. Entities
@@ -190,15 +226,17 @@ def redact(docs: DataFrame, key: str = "tidemark") -> DataFrame:
     A null text stays null with n_entities 0; an empty text stays empty. Repeated rows are replaced alike; an empty table
     gives no rows; other columns stay, but one named n_entities is replaced.
     """
-    found = F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
-    each = docs.select(F.explode(found).alias("e")).select(kind(F.col("e")).alias("type"), "e")
-    names = dictionary(each.select("type", canonical(F.col("e"), F.col("type")).alias("entity")), key)
+    docs = docs.withColumn("~titled", _titled(F.col("text")))
+    pattern = _pattern(F.col("~titled"))
+    found = F.coalesce(F.regexp_extract_all("text", pattern, F.lit(0)), F.array().cast("array<string>"))
+    parts = F.explode(_parts(F.col("e"), kind(F.col("e")), F.col("~titled"))).alias("x")
+    names = dictionary(docs.select("~titled", F.explode(found).alias("e")).select(parts).select("x.type", "x.entity"), key)
     again = stored(names.where("attempt > 0"), "exceptions")
     few = again.take(MOST_INLINE + 1)
     base, exceptions = docs.drop("n_entities").withColumn("~found", found), None
     if len(few) > MOST_INLINE:
-        at = docs.select(F.sha2("text", 256).alias("~text"), F.explode(found).alias("e")).select("~text", kind(F.col("e")).alias("type"), "e")
-        at = at.select("~text", "type", canonical(F.col("e"), F.col("type")).alias("entity")).distinct()
+        at = docs.select(F.sha2("text", 256).alias("~text"), "~titled", F.explode(found).alias("e")).select("~text", parts)
+        at = at.select("~text", "x.type", "x.entity").distinct()
         maps = at.join(again, ["type", "entity"]).groupBy("~text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "type", "entity"), "surrogate"))).alias("~names"))
         base = base.withColumn("~text", F.sha2("text", 256)).join(stored(maps, "exceptions-by-text"), "~text", "left")
         exceptions = F.coalesce("~names", F.create_map().cast("map<string,string>"))
@@ -209,17 +247,21 @@ def redact(docs: DataFrame, key: str = "tidemark") -> DataFrame:
         drawn = surrogate(x["entity"], x["type"], x["digest"], F.lit(0))
         return drawn if exceptions is None else F.coalesce(F.try_element_at(exceptions, F.concat_ws("\x1f", x["type"], x["entity"])), drawn)
 
+    def put(x: Column) -> Column:
+        name = F.concat_ws(" ", F.regexp_substr(x["e"], F.lit(rf"^{TITLE}(?= )")), F.substr(F.try_element_at(x["new"], F.lit(2)), F.lit(3)), F.element_at(x["new"], 1))
+        return F.when(x["type"] == "name", name).otherwise(_written(x["e"], x["type"], F.element_at(x["new"], 1)))
+
     steps = (
         lambda e: F.struct(e.alias("e"), kind(e).alias("type")),
-        lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), canonical(x["e"], x["type"]).alias("entity")),
-        lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), x["entity"].alias("entity"), draws(x["entity"], x["type"], F.lit(0), key).alias("digest")),
-        lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), chosen(x).alias("new")),
-        lambda x: _written(x["e"], x["type"], x["new"]),
+        lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), _parts(x["e"], x["type"], F.col("~titled")).alias("parts")),
+        lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), F.transform(x["parts"], lambda y: F.struct(y["type"].alias("type"), y["entity"].alias("entity"), draws(y["entity"], y["type"], F.lit(0), key).alias("digest"))).alias("parts")),
+        lambda x: F.struct(x["e"].alias("e"), x["type"].alias("type"), F.transform(x["parts"], chosen).alias("new")),
+        put,
     )
     new = reduce(F.transform, steps, F.col("~found"))
-    whole = F.array_join(F.zip_with(F.split("text", ANY, -1), F.concat(new, F.array(F.lit(""))), lambda between, put: F.concat(between, put)), "")
+    whole = F.array_join(F.zip_with(F.split("text", pattern, -1), F.concat(new, F.array(F.lit(""))), lambda between, put: F.concat(between, put)), "")
     text = F.when(F.size("~found") > 0, whole).otherwise(F.col("text"))
-    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_entities"]
+    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities", "~titled")]
     return base.select(*out, F.size("~found").cast("long").alias("n_entities"))
 
 
