@@ -172,6 +172,19 @@ def test_proximity(spark):
     assert {r.doc_id: r.spans for r in found if r.spans} == {1: [0, 5], 4: [0, 3]}
 
 
+def test_every_minimal_proximity_span():
+    """Of terms at hand, all minimal windows that hold them, overlapping ones too, by brute force."""
+    rng = random.Random(7)
+    for words_, slop in [("ab", 1), *((rng.choice(["ab", "abc", "aab", "abb", "aabc"]), rng.randrange(5)) for _ in range(400))]:
+        text = "bab" if (words_, slop) == ("ab", 1) else "".join(rng.choice("abcxy") for _ in range(rng.randrange(25)))
+        lists = sorted((np.array([i for i, c in enumerate(text) if c == w], np.int64) for w in words_), key=len)
+        if not all(len(x) for x in lists):
+            continue
+        fits = lambda a, b: all(text[a:b].count(w) >= words_.count(w) for w in words_)  # noqa: E731, B023
+        spans = [(a, b) for a in range(len(text)) for b in range(a + 1, min(len(text), a + len(words_) + slop) + 1) if fits(a, b) and not fits(a + 1, b) and not fits(a, b - 1)]
+        assert sorted(decontaminate._near(lists, slop)) == spans, (text, words_, slop)
+
+
 def test_decontamination_empty_tables(spark, odd, odd_rows, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, odd_rows[14][1])], "item_id long, text string")

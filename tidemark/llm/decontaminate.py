@@ -114,23 +114,19 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(lists: list[np.ndarray], slop: int) -> list[tuple[int, int]]:
-    """Spans that hold every list's term, as often as lists repeat, within len(lists) + slop places; the first is the rarest."""
+    """Every minimal span that holds every list's term, as often as lists repeat, within len(lists) + slop places; the first is the rarest."""
     need = len(lists) + slop
-    found = []
+    terms = {x.tobytes(): x for x in lists}
+    often = [(x, sum(y.tobytes() == name for y in lists)) for name, x in terms.items()]
+    fits = lambda lo, hi: all(np.searchsorted(x, hi) - np.searchsorted(x, lo) >= k for x, k in often)
+    found = set()
     for p in lists[0].tolist():
-        near = sorted({int(q) for x in lists for q in x[np.searchsorted(x, p - need + 1) : np.searchsorted(x, p + need)]})
-        for i, lo in enumerate(near):
-            inside = [q for q in near[i:] if q < lo + need]
-            used: set[int] = set()
-            for x in lists:
-                q = next((q for q in inside if q not in used and x[min(np.searchsorted(x, q), len(x) - 1)] == q), None)
-                if q is None:
-                    break
-                used.add(q)
-            else:
-                found.append((min(used), max(used) + 1))
-                break
-    return found
+        near = sorted({int(q) for x in terms.values() for q in x[np.searchsorted(x, p - need + 1) : np.searchsorted(x, p + need)]})
+        for lo in (q for q in near if q <= p):
+            hi = next((q + 1 for q in near if p <= q < lo + need and fits(lo, q + 1)), None)
+            if hi is not None and not fits(lo + 1, hi) and not fits(lo, hi - 1):
+                found.add((lo, hi))
+    return sorted(found)
 
 
 def search(phrases: Phrases, count: np.ndarray, slop: int | None = None):
