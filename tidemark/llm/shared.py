@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -21,6 +23,8 @@ CHUNK_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 
 _fallback_roots: dict[str, str] = {}
+#: Where each stored table is.
+_paths: dict[int, tuple] = {}
 _shipped: set[str] = set()
 
 
@@ -29,9 +33,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset: on one machine a temporary folder, as
+    in tests; on a cluster one in the warehouse, which its machines share."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     app = spark.sparkContext.applicationId
     return _fallback_roots.setdefault(app, tempfile.mkdtemp(prefix="tidemark-"))
 
@@ -40,7 +47,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = f"{shared_root(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark drop the shuffle files of what made them.
+
+    Only call it when whatever was made of them is stored, too: a lost executor then needs none of them again.
+    """
+    for table in tables:
+        owner, path = _paths.pop(id(table), (lambda: None, None))
+        if owner() is table:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    gc.collect()
+    if tables:  # Spark drops shuffle files once the driver's JVM has collected what refers to them
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:
@@ -120,20 +145,21 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (u, v): root is the smallest node that links reach.
 
-    Alternates large-star and small-star steps; each is an aggregation and a join whose large keys Spark splits, so no
-    group is gathered. Rounds grow with the logarithm of the longest path. Centres and isolated nodes have no row.
+    Alternates large-star and small-star steps; each is an aggregation, which Spark combines where it reads, and a join with
+    its stored result, whose large keys Spark can split, so no group is gathered. Rounds grow with the logarithm of the
+    longest path. Centres and isolated nodes have no row.
     """
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").mapInArrow(_contract, "u long, v long"), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        wide = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        wide = stored(wide, "large-star")
-        least = wide.groupBy("u").agg(F.min("v").alias("m"))
-        near = wide.join(least, "u")
-        edges = stored(near.select("u", "m").union(near.where("v <> m").select("v", "m")).distinct().toDF("u", "v"), "small-star")
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        wide = stored(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        small = stored(wide.groupBy("u").agg(F.min("v").alias("m")), "least")
+        near = wide.join(small, "u").where("v <> m").select("v", "m")
+        last, edges = edges, stored(small.union(near).distinct().toDF("u", "v"), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        spent(last, least, wide, small)
         if now == before:
             return edges.toDF("node", "root")
         before = now

@@ -11,9 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.shared import chunks, components, forest, read, ready, stored, utf8
+from tidemark.llm.shared import chunks, components, forest, read, ready, spent, stored, utf8
 from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 
 #: Bits of the three parts of a fingerprint; each part, padded with zero bits, is a word of the Golay code's space.
@@ -106,37 +105,72 @@ def replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"anchor": key, "home": home, "fp": fp[row], "rep": rep[row]})
 
 
-def compare(most_bits: int):
-    """For mapInArrow over (anchor, salt, home, fp, rep) with the rows of an anchor and salt in one task: stars of linked reps."""
-
-    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not got:
-            return
-        anchor, salt, home, fp, rep = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        key = anchor + (salt.astype(np.int64) << 32)
-        order = np.flatnonzero(home)
-        order = order[np.argsort(key[order], kind="stable")]
-        homes = key[order]
-        lo = np.searchsorted(homes, key, "left")
-        n = np.searchsorted(homes, key, "right") - lo
+def meetings(batches: Iterable[pa.RecordBatch], enough: int = 1 << 18) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Of rows (anchor, salt, home, ...) in the order of anchor, salt and home first: columns of some rows, and the pairs
+    (row, home) of them that share anchor and salt, each pair of rows once. Only the homes of the last anchor are carried on."""
+    kept: list[np.ndarray] | None = None
+
+    def met(columns: list[np.ndarray], old: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        key = columns[0] + (columns[1].astype(np.int64) << 32)  # anchors of one anchor's rows are next to each other: no two meet by chance
+        begin = np.flatnonzero(np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])) if len(key) else np.zeros(0, np.int64)
+        group = np.cumsum(np.bincount(begin, minlength=len(key))) - 1
+        homes = np.flatnonzero(columns[2])
+        lo = np.searchsorted(group[homes], group, "left")
+        n = np.minimum(np.searchsorted(group[homes], group, "right"), np.searchsorted(homes, np.arange(len(key)), "left")) - lo
+        n = np.maximum(n, 0)
+        n[:old] = 0
         ends = np.cumsum(n)
-        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = 0
         while at < len(key):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
             row, place = _spread(lo[at:to], n[at:to])
-            row, other = row + at, order[place]
+            if len(row):
+                yield columns, row + at, homes[place]
+            at = to
+
+    waiting: list[list[np.ndarray]] = []
+
+    def flush() -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        nonlocal kept, waiting
+        old = len(kept[0]) if kept else 0
+        columns = [np.concatenate(x) for x in zip(*([kept] if kept else []), *waiting, strict=True)]
+        waiting = []
+        yield from met(columns, old)
+        last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1]) & columns[2]
+        kept = [c[last] for c in columns]
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(x[0]) for x in waiting) >= enough:
+                yield from flush()
+    if waiting:
+        yield from flush()
+
+
+def compare(most_bits: int):
+    """For mapInArrow over (anchor, salt, home, fp, rep) as meetings() takes them: stars of linked reps."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for (_, _, _, fp, rep), row, other in meetings(batches):
             near = np.bitwise_count((fp[row] ^ fp[other]).view(np.uint64)) <= most_bits  # of signed numbers it counts the absolute value's
             near &= rep[row] != rep[other]
             u, v = forest(np.concatenate([u, rep[row[near]]]), np.concatenate([v, rep[other[near]]]))
-            at = to
+            if len(u) > 1 << 20:
+                yield pa.record_batch({"u": u, "v": v})
+                u, v = u[:0], v[:0]
         yield pa.record_batch({"u": u, "v": v})
 
     return of
 
 
+def _together(spread: DataFrame) -> DataFrame:
+    """Rows of an anchor and salt in one task, its homes first."""
+    n = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt", F.col("home").desc())
+
+
 def _split(spread: DataFrame, columns: list[str]) -> DataFrame:
     """spread with salt: an anchor with over HOT_HOMES homes is split, each of its rows meets each block of homes in a task
     of its own."""
@@ -154,9 +188,7 @@ def link(nodes: DataFrame, most_bits: int = 3) -> DataFrame:
     if not 0 <= most_bits <= 3:
         raise ValueError("the covering holds for 3 differing bits at most")
     spread = nodes.select("fp", "rep").mapInArrow(replicate, "anchor long, home boolean, fp long, rep long")
-    spread = _split(spread, ["fp", "rep"])
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(n, "anchor", "salt").mapInArrow(compare(most_bits), "u long, v long")
+    return _together(_split(spread, ["fp", "rep"])).mapInArrow(compare(most_bits), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, most_bits: int = 3) -> DataFrame:
@@ -178,9 +210,11 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, most_bits: int
     return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Seeds of the two parts of a 128-bit fingerprint of shingles; the first shingles of a set by which stars of candidates form;
-#: size below which fingerprints are not asked.
-SEEDS, FEW, SMALL = (11, 12), 4, 64
+#: Seeds of the two parts of a 128-bit fingerprint of shingles; size below which such fingerprints are not asked.
+SEEDS, SMALL = (11, 12), 64
+#: Keys of a set, and minima in each: two sets of similarity 0.8 share none once in (1 - 0.8**5)**32, that is 3 in a million.
+KEYS, MINIMA = 32, 5
+_ODD = mixed(np.arange(1, KEYS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def most_apart(similarity: float, bits: int) -> int:
@@ -204,15 +238,24 @@ def _majority(hashes: np.ndarray, seeds: tuple[int, ...]) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def sets(words_per_shingle: int, similarity: float):
-    """For mapInArrow over (doc_id, text_hash, text): of each set of distinct shingles a hash, the size, a fingerprint of 128 bits,
-    the least hashes (one of which any set so similar has, too) and 32 bits of all hashes."""
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """KEYS keys of a set of hashes: each of the least of MINIMA orders of it."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[lo : lo + 256, None] * _ODD).min(axis=0), out=least)
+    groups = mixed(least + np.arange(len(least), dtype=np.uint64)).reshape(KEYS, MINIMA)
+    return mixed((groups * _ODD[:MINIMA]).sum(axis=1, dtype=np.uint64))
+
+
+def sets(words_per_shingle: int):
+    """For mapInArrow over (doc_id, text_hash, text): of each set of distinct shingles a hash, the size, a fingerprint of 128
+    bits, its keys and 32 bits of all hashes."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(2))
             out, n = np.zeros((len(at) - 1, 3), np.int64), np.zeros(len(at) - 1, np.int64)
-            prefixes, members = [b""] * len(n), [b""] * len(n)
+            keys, members = [b""] * len(n), [b""] * len(n)
             for lo, hi in chunks(at):
                 low = LOWER[raw[at[lo] : at[hi]]]
                 starts, ends = runs(NOT_BLANK[low], at[lo : hi + 1] - at[lo])
@@ -229,65 +272,37 @@ def sets(words_per_shingle: int, similarity: float):
                         n[i] = len(shingles)
                         whole = mixed(np.array([mixed(shingles).sum(dtype=np.uint64)], np.uint64) + np.uint64(n[i]))
                         out[i] = np.concatenate([whole.view(np.int64), _majority(shingles, SEEDS)])
-                        prefixes[i] = shingles[: n[i] - _least(similarity, n[i]) + 1].tobytes()
+                        keys[i] = _keys(shingles).tobytes()
                         members[i] = (shingles >> np.uint64(32)).astype(np.uint32).tobytes()
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(out[:, k]) for k in range(3)), pa.array(n), pa.array(prefixes, pa.binary()), pa.array(members, pa.binary())], names=["doc_id", "text_hash", "node", "f0", "f1", "n", "prefix", "members"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(out[:, k]) for k in range(3)), pa.array(n), pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["doc_id", "text_hash", "node", "f0", "f1", "n", "keys", "members"])
 
     return of
 
 
-def replicate_sets(similarity: float, few: bool):
-    """For mapInArrow over (node, f0, f1, n, root, prefix): each set at its least hashes, or at a few of them. At home it meets
-    sets of its size and more, which need not be so many."""
-
-    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(3).to_numpy(zero_copy_only=False)
-            found = [np.frombuffer(x, np.int64) for x in batch.column(5).to_pylist()]
-            many = np.array([len(x) for x in found], np.int64)
-            taken = np.minimum(many, FEW) if few else many
-            row, place = _spread(np.zeros(len(many), np.int64), taken)
-            anchor = np.concatenate([x[:t] for x, t in zip(found, taken, strict=True)]) if len(found) else np.zeros(0, np.int64)
-            home = place <= (n - _least(2 * similarity / (1 + similarity), n))[row]
-            columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1, 2, 3, 4)]
-            yield pa.record_batch([pa.array(x) for x in (anchor, home, place, *columns)], names=["anchor", "home", "place", "node", "f0", "f1", "n", "root"])
-
-    return of
+def replicate_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, f0, f1, n, root, keys) to (anchor, home, node, f0, f1, n, root): each set at each of its keys."""
+    for batch in batches:
+        found = [np.frombuffer(x, np.int64) for x in batch.column(5).to_pylist()]
+        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        anchor = np.concatenate([*found, np.zeros(0, np.int64)])
+        columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in range(5)]
+        yield pa.record_batch([pa.array(x) for x in (anchor, np.ones(len(anchor), bool), *columns)], names=["anchor", "home", "node", "f0", "f1", "n", "root"])
 
 
 def compare_sets(similarity: float):
-    """For mapInArrow over (anchor, salt, home, place, node, f0, f1, n, root), an anchor and salt in one task: pairs of nodes with
-    different roots that may be alike, by sizes, places and fingerprints."""
+    """For mapInArrow over (anchor, salt, home, node, f0, f1, n, root) as meetings() takes them: pairs of nodes with different
+    roots that may be alike, by sizes and fingerprints."""
     most = most_apart(similarity, 128)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not got:
-            return
-        anchor, salt, home, spot, node, f0, f1, n, root = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        key = anchor + (salt.astype(np.int64) << 32)
-        order = np.flatnonzero(home)
-        order = order[np.argsort(key[order], kind="stable")]
-        lo = np.searchsorted(key[order], key, "left")
-        many = np.searchsorted(key[order], key, "right") - lo
-        ends = np.cumsum(many)
-        at = 0
-        while at < len(key):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            row, place = _spread(lo[at:to], many[at:to])
-            row, other = row + at, order[place]
-            near = (root[row] != root[other]) & (n[other] <= n[row]) & (n[other] >= _least(similarity, n[row]))
-            row, other = row[near], other[near]
-            both = np.minimum(n[row] - spot[row], n[other] - spot[other])
-            near = both >= _least(similarity / (1 + similarity), n[row] + n[other])
+        for (_, _, _, node, f0, f1, n, root), row, other in meetings(batches):
+            near = (root[row] != root[other]) & (np.minimum(n[row], n[other]) >= _least(similarity, np.maximum(n[row], n[other])))
             row, other = row[near], other[near]
             near = np.bitwise_count((f0[row] ^ f0[other]).view(np.uint64)).astype(np.int64) + np.bitwise_count((f1[row] ^ f1[other]).view(np.uint64)) <= most
-            near |= n[row] < SMALL  # ties make the bits of small sets differ more
+            near |= np.minimum(n[row], n[other]) < SMALL  # ties make the bits of small sets differ more
             row, other = row[near], other[near]
             pairs = np.unique(np.stack([np.minimum(node[row], node[other]), np.maximum(node[row], node[other])]), axis=1)
             yield pa.record_batch({"a": pairs[0], "b": pairs[1]})
-            at = to
 
     return of
 
@@ -311,41 +326,55 @@ def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8
     """(doc_id, text_hash, component_id) for each row of docs: near copies by the similarity of their sets of word shingles.
 
     Two texts are linked if the Jaccard similarity of their distinct shingles is as high; component_id is the smallest doc_id
-    that links reach. Candidates are found by prefix filtering, which loses none: so similar sets have one of their least
-    hashes in common, whatever the edit. A candidate's size, place of that hash and 128-bit SimHash (which tells six standard
-    deviations apart) must admit the similarity; then it is counted, with 32 bits of each shingle's hash. At first each
-    text is only compared with the first at each of a few hashes; what that links is not compared again, so a large group
-    of near copies takes few pairs.
+    that links reach. Each link is counted, with 32 bits of each shingle's hash. Candidates are those that the anchors of
+    link() bring together by their SimHash, which reaches up to 3 of 64 bits; sets this similar differ in about 10, so
+    sets also meet at KEYS keys, each of MINIMA least hashes: at 0.8 all but 3 pairs in a million share one, and
+    more alike ones sooner, whatever the edit. Sets that hold a common passage among other text share a key
+    only if all its minima fall in the passage. At first a set is compared with the first at a key alone; what that links is
+    not compared again, so a large group of near copies takes few pairs. Sizes and a 128-bit SimHash, which tells six
+    standard deviations apart, spare further counts.
 
     Null and blank texts are alike; rows whose set only rows without doc_id share have component_id null.
     """
     ready(docs.sparkSession)
-    found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sets(words_per_shingle, similarity), "doc_id long, text_hash long, node long, f0 long, f1 long, n long, prefix binary, members binary"), "sets")
-    least = F.min(F.struct("doc_id", "f0", "f1", "n", "prefix")).alias("x")
-    nodes = stored(found.where("doc_id is not null").groupBy("node").agg(least).select("node", F.col("x.doc_id").alias("rep"), "x.f0", "x.f1", "x.n", "x.prefix"), "nodes")
-    spread = "anchor long, home boolean, place long, node long, f0 long, f1 long, n long, root long"
+    found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sets(words_per_shingle), "doc_id long, text_hash long, node long, f0 long, f1 long, n long, keys binary, members binary"), "sets")
+    least = F.min(F.struct("doc_id", "f0", "f1", "n", "keys")).alias("x")
+    nodes = stored(found.where("doc_id is not null").groupBy("node").agg(least).select("node", F.col("x.doc_id").alias("rep"), "x.f0", "x.f1", "x.n", "x.keys"), "nodes")
+    spread = "anchor long, home boolean, node long, f0 long, f1 long, n long, root long"
     reps = nodes.select("node", "rep")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        mine = found.where("doc_id is not null").select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"]).join(reps, "node")
-        mine = stored(mine, "members")
+        mine = found.where("doc_id is not null").select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"])
+        mine = stored(mine.join(reps, "node"), "members")
         u, v = (mine.select(F.col("node").alias(x), F.col("rep").alias(y), F.col("members").alias(z)) for x, y, z in (("a", "u", "x"), ("b", "v", "y")))
-        return stored(pairs.join(u, "a").join(v, "b").select("u", "v", "x", "y").mapInArrow(verify_sets(similarity), "u long, v long"), "links")
-
-    first = nodes.select("node", "f0", "f1", "n", F.col("rep").alias("root"), "prefix").mapInArrow(replicate_sets(similarity, True), spread)
-    star = first.select("anchor", "node").withColumn("a", F.min("node").over(Window.partitionBy("anchor"))).where("a <> node")
-    some = linked(star.select("a", F.col("node").alias("b")))
+        links = stored(pairs.join(u, "a").join(v, "b").select("u", "v", "x", "y").mapInArrow(verify_sets(similarity), "u long, v long"), "links")
+        spent(pairs, mine)
+        return links
+
+    prints = stored(nodes.groupBy("f0").agg(F.min("node").alias("rep")), "fingerprints")
+    same = nodes.select("f0", "node").join(prints, "f0").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = link(prints.select(F.col("f0").alias("fp"), "rep")).toDF("a", "b")
+    every = nodes.select("node", "f0", "f1", "n", F.col("node").alias("root"), "keys").mapInArrow(replicate_sets, spread).select("anchor", "node")
+    star = every.groupBy("anchor").agg(F.min("node").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
+    star = every.join(star, "anchor").groupBy("node").agg(F.min("a").alias("a")).where("a <> node").select("a", F.col("node").alias("b"))
+    some = linked(same.union(near).union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     roots = components(some)
-    rooted = nodes.join(roots.toDF("of", "root"), F.col("rep") == F.col("of"), "left")
-    rest = rooted.select("node", "f0", "f1", "n", F.coalesce("root", "rep").alias("root"), "prefix").mapInArrow(replicate_sets(similarity, False), spread)
-    columns = ["place", "node", "f0", "f1", "n", "root"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = linked(_split(rest, columns).repartition(n, "anchor", "salt").mapInArrow(compare_sets(similarity), "a long, b long"))
+    rooted = stored(nodes.join(roots.toDF("of", "root"), F.col("rep") == F.col("of"), "left").select("node", "f0", "f1", "n", F.coalesce("root", "rep").alias("root"), "keys"), "rooted")
+    rest = rooted.mapInArrow(replicate_sets, spread)
+    mixed_ = rest.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
+    rest = stored(rest.join(stored(mixed_, "open-keys"), "anchor", "left_semi"), "open-sets")
+    more = linked(_together(_split(rest, ["node", "f0", "f1", "n", "root"])).mapInArrow(compare_sets(similarity), "a long, b long"))
     roots = components(some.union(more)).toDF("of", "root")
     of = stored(reps.join(roots, F.col("rep") == F.col("of"), "left").select("node", F.coalesce("root", "rep").alias("component_id")), "classes")
-    return found.select("doc_id", "text_hash", "node").join(of, "node", "left").select("doc_id", "text_hash", "component_id")
+    out = stored(found.select("doc_id", "text_hash", "node").join(of, "node", "left").select("doc_id", "text_hash", "component_id"), "near-duplicates")
+    spent(found, nodes, prints, some, rooted, rest, more, of)
+    return out
+
+
+#: Rows of 16 bytes that are sent to all tasks at most.
+MOST_SENT = 1_000_000
 
 
 def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -353,13 +382,20 @@ def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float =
 
     Rows without doc_id go if they are linked to one that has it; a group of such rows alone stays, each text once.
     """
-    found = stored(similar(docs, words_per_shingle, similarity), "near-duplicates")
+    found = similar(docs, words_per_shingle, similarity)
     here = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = stored(found.where(~here).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone.hint("merge")
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
-    if found.where(here).groupBy("doc_id", "text_hash").count().where("count > 1").take(1):
-        left = left.withColumn("~text", F.xxhash64("text")).dropDuplicates(["doc_id", "~text"]).drop("~text")
-    return left
+    twice = stored(found.where(here).groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated-rows")
+    if not twice.take(1):
+        return left
+    # Of rows that are repeated one stays; all others need not move.
+    mark, again = (next(n for n in (f"{x}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("mark", "again"))
+    twice = twice.select(F.struct("doc_id", "text_hash").alias("key"), F.lit(True).alias("yes"))
+    keyed = left.withColumn(mark, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
+    keyed = keyed.join(F.broadcast(twice) if twice.count() <= MOST_SENT else twice.hint("merge"), F.expr(f"{mark} <=> key"), "left").withColumn(again, F.col("yes")).drop("key", "yes")
+    return keyed.where(f"{again} is null").drop(mark, again).union(keyed.where(again).dropDuplicates([mark]).drop(mark, again))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
