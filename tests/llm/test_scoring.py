@@ -78,6 +78,23 @@ def test_mix_deals_a_bin_of_equal_documents(spark):
     assert (found.copies * 3).sum() == pytest.approx(3000, abs=6) and found[found.doc_id < 900].copies.max() <= 3
 
 
+def test_mix_is_the_same_however_rows_are_dealt_out(spark, sf, odd):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(odd)
+    found = [sorted(mixing.mix(d).collect(), key=str) for d in (docs.repartition(3), docs.repartition(11, "text"))]
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_taken_keeps_columns_that_clash(spark, odd, sent, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SENT", sent)
+    docs = odd.withColumns({c: F.lit(c) for c in ("key", "value", "mark", "mix0_", "size", "copies", "skey", "salt")})
+    found = mixing.taken(docs)
+    assert found.columns == [*(c for c in docs.columns if c not in ("size", "copies")), "size", "source_size", "target", "copies", "taken"]
+    rows = found.collect()
+    assert rows and all((r.key, r.value, r.mark, r.mix0_, r.skey, r.salt) == ("key", "value", "mark", "mix0_", "skey", "salt") and r.taken == r.copies * r["size"] > 0 for r in rows)
+    assert sorted((str(r.doc_id), r.copies) for r in rows) == sorted((str(r.doc_id), r.copies) for r in mixing.mix(odd).where("copies > 0").collect())
+
+
 # Quality
 
 

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import WORD, read, ready, stored
+from tidemark.llm.shared import WORD, read, ready, spent, stored
 
 #: One row for each source is held by the driver: the weights are settings, not data.
 MOST_SOURCES = 1_000_000
 #: Documents of one source and size whose copies are dealt out in one window.
 LEAST_GROUP, MOST_GROUPS = 256, 20_000
+#: Rows of a plan that are sent to all tasks at most.
+MOST_SENT = 500_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], cap: float) -> list[float]:
@@ -41,16 +44,19 @@ def solve(spark: SparkSession, bins: DataFrame, goal: dict[str, float], cap: flo
     """Multipliers of the convex dual sum(n * capped exp(x * size)) - x * goal, one for each source.
 
     A Newton step for every source at once: gradient and curvature are one distributed aggregation over the counts of
-    (source, size), which hold all that the dual needs. A step outside the bracket found so far is halved.
+    (source, size), which hold all that the dual needs. A step outside the bracket found so far is halved. Sums are decimal,
+    so that they don't depend on the order in which rows come. Says so if sources are still off after all rounds.
     """
     x = dict.fromkeys(goal, 0.0)
     low, high = dict.fromkeys(goal, -math.inf), dict.fromkeys(goal, math.log(cap))
     top = math.log(cap)
+    moved = bool(x)
     for _ in range(rounds):
         now = spark.createDataFrame(pa.table({"skey": list(x), "x": pa.array(x.values(), pa.float64())}))
         lift = F.col("x") * F.col("size")
         rate = F.exp(F.least(lift, F.lit(top)))
-        sums = bins.where("size > 0").join(now, "skey").groupBy("skey", "x").agg(F.sum(F.col("n") * F.col("size") * rate).alias("f"), F.sum(F.when(lift < top, F.col("n") * F.col("size") * F.col("size") * rate).otherwise(0.0)).alias("d"))
+        exact = lambda c: F.sum(c.cast("decimal(32,8)")).cast("double")
+        sums = bins.where("size > 0").join(now, "skey").groupBy("skey", "x").agg(exact(F.col("n") * F.col("size") * rate).alias("f"), exact(F.when(lift < top, F.col("n") * F.col("size") * F.col("size") * rate).otherwise(0.0)).alias("d"))
         moved = False
         for k, at, f, d in ((r.skey, r.x, r.f, r.d) for r in sums.collect()):
             if abs(f - goal[k]) <= 1e-7 * goal[k]:
@@ -63,6 +69,8 @@ def solve(spark: SparkSession, bins: DataFrame, goal: dict[str, float], cap: flo
             x[k] = step
         if not moved:
             break
+    if moved:
+        warnings.warn(f"the mix has not converged after {rounds} Newton rounds", stacklevel=2)
     return x
 
 
@@ -81,6 +89,79 @@ def round_copies(size: np.ndarray, n: np.ndarray, rate: np.ndarray, goal: float,
     return copies
 
 
+def _source(source: Column) -> Column:
+    return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+class Plan:
+    """How many copies of each document a mix takes: for each source, size and salt the copies that all its documents have
+    (least), and the mark up to which documents have one more (upto)."""
+
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...], cap: int):
+        spark = docs.sparkSession
+        ready(spark)
+        few = stored(docs.select(_source(F.col("source")).alias("skey"), _size(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark")), "sizes")
+        bins = stored(few.groupBy("skey", "size").agg(F.count("*").alias("n")), "bins")
+        rows = bins.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("n").alias("n")).take(MOST_SOURCES + 1)
+        if len(rows) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
+        order = sorted(rows, key=lambda r: (r.skey == "n", r.skey.encode()))
+        goal = dict(zip([r.skey for r in order], targets([(r.skey, r.s) for r in order], weights, cap), strict=True))
+        words = {r.skey: r.s for r in order}
+        x = solve(spark, bins, {k: v for k, v in goal.items() if v > 0}, cap)
+        #: Documents of a source and size beyond which they are dealt out by salts.
+        self.group = max(LEAST_GROUP, -(-sum(r.n for r in order) // MOST_GROUPS))
+        split = bins.select("skey", "size", F.col("n").alias("of"))
+        dealt = stored(few.join(split, ["skey", "size"]).select("skey", "size", "of", "mark", self.salt(F.col("mark"), F.col("of")).alias("salt")), "dealt")
+        counts = stored(dealt.groupBy("skey", "size", "of", "salt").agg(F.count("*").alias("n")), "counts")
+
+        def plan(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["size", "salt"], ignore_index=True)
+            key = part["skey"].iloc[0]
+            size, n = part["size"].to_numpy(), part["n"].to_numpy()
+            rate = np.exp(np.minimum(x.get(key, 0.0) * size, math.log(cap))) * (size > 0)
+            return part.assign(copies=round_copies(size, n, rate, goal[key], cap), source_size=words[key], target=goal[key])
+
+        plans = stored(counts.groupBy("skey").applyInPandas(plan, "skey string, size long, of long, salt long, n long, copies long, source_size long, target double"), "plans")
+        place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy("mark"))
+        last = dealt.drop("of").withColumn("place", place).join(plans.select("skey", "size", "salt", (F.col("copies") % F.col("n")).alias("place")), ["skey", "size", "salt", "place"])
+        last = last.select("skey", "size", "salt", F.col("mark").alias("upto"))
+        full = plans.join(last, ["skey", "size", "salt"], "left").select("skey", "size", "salt", "of", F.floor(F.col("copies") / F.col("n")).alias("least"), "upto", "source_size", "target")
+        self.rows = stored(full, "plan")
+        spent(few, bins, dealt, counts, plans)
+
+    def salt(self, mark: Column, of: Column) -> Column:
+        return F.pmod(mark, F.ceil(of / self.group)).cast("long")
+
+    def put(self, docs: DataFrame) -> DataFrame:
+        """docs with a column that its own columns don't have, a struct (mark, size, source_size, target, copies); its name is added_name(docs).
+
+        The plan has a row for each source, size and salt. Up to MOST_SENT of them travel to all tasks and the documents stay
+        where they are; more are joined by a shuffle.
+        """
+        name = added_name(docs)
+        one = self.rows.groupBy("skey", "size").agg(F.any_value("source_size").alias("source_size"), F.any_value("target").alias("target"), F.any_value("of").alias("of"), F.map_from_entries(F.collect_list(F.struct("salt", F.struct("least", "upto")))).alias("salts"))
+        one = stored(one.select(F.struct("skey", "size").alias(f"{name}key"), F.struct("source_size", "target", "of", "salts").alias(f"{name}value")), "plan-by-size")
+        small = self.rows.count() <= MOST_SENT
+        mine = F.struct(_source(F.col("source")).alias("skey"), _size(F.col("text")).alias("size"))
+        keyed = docs.withColumn(name, F.struct(F.xxhash64("doc_id", "text").alias("mark"), mine.alias("mine")))
+        joined = keyed.join(F.broadcast(one) if small else one.hint("merge"), F.col(f"{name}.mine") == F.col(f"{name}key"))
+        value, mark = F.col(f"{name}value"), F.col(f"{name}.mark")
+        deal = value["salts"][self.salt(mark, value["of"])]
+        copies = deal["least"] + F.when(mark <= deal["upto"], 1).otherwise(0)
+        put = F.struct(mark.alias("mark"), F.col(f"{name}.mine.size").alias("size"), value["source_size"].alias("source_size"), value["target"].alias("target"), copies.cast("long").alias("copies"))
+        return joined.withColumn(name, put).drop(f"{name}key", f"{name}value")
+
+
+def added_name(docs: DataFrame) -> str:
+    """A name that no column of docs begins with."""
+    return next(n for n in (f"mix{i}_" for i in range(len(docs.columns) + 1)) if not any(c.lower().startswith(n) for c in docs.columns))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """(doc_id, mark, size, source_size, target, copies) for each row of docs; mark is the XXH64 of doc_id and text.
 
@@ -91,37 +172,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -
     words differ from its target by less than its shortest movable document, where one copy can still be moved.
 
     A null source is one of its own, ordered last; weights repeat over the sources in code point order. A null or blank
-    text has size 0 and no copies. Repeated rows are documents of their own; tied rows are interchangeable. An empty
+    text has size 0 and no copies. Repeated rows are taken alike, which may take a copy of each more. An empty
     table gives no rows. Columns of docs other than doc_id, text and source are not read.
     """
-    spark, size = docs.sparkSession, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    ready(spark)
-    few = stored(docs.select("doc_id", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("skey"), size.alias("size"), F.xxhash64("doc_id", "text").alias("mark")), "sizes")
-    bins = stored(few.groupBy("skey", "size").agg(F.count("*").alias("n")), "bins")
-    rows = bins.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("n").alias("n")).take(MOST_SOURCES + 1)
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    order = sorted(rows, key=lambda r: (r.skey == "n", r.skey.encode()))
-    goal = dict(zip([r.skey for r in order], targets([(r.skey, r.s) for r in order], weights, cap), strict=True))
-    words = {r.skey: r.s for r in order}
-    x = solve(spark, bins, {k: v for k, v in goal.items() if v > 0}, cap)
-    group = max(LEAST_GROUP, -(-sum(r.n for r in order) // MOST_GROUPS))
-
-    split = F.pmod(F.col("mark"), F.ceil(F.col("n") / group)).cast("long")
-    dealt = stored(few.join(bins, ["skey", "size"]).select("doc_id", "skey", "size", "mark", split.alias("salt")), "dealt")
-    counts = stored(dealt.groupBy("skey", "size", "salt").agg(F.count("*").alias("n")), "counts")
-
-    def plan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "salt"], ignore_index=True)
-        key = part["skey"].iloc[0]
-        size, n = part["size"].to_numpy(), part["n"].to_numpy()
-        rate = np.exp(np.minimum(x.get(key, 0.0) * size, math.log(cap))) * (size > 0)
-        return part.assign(copies=round_copies(size, n, rate, goal[key], cap), source_size=words[key], target=goal[key])
-
-    plans = stored(counts.groupBy("skey").applyInPandas(plan, "skey string, size long, salt long, n long, copies long, source_size long, target double"), "plans")
-    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy("mark", "doc_id"))
-    copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("place") <= F.col("copies") % F.col("n"), 1).otherwise(0)
-    return dealt.withColumn("place", place).join(plans, ["skey", "size", "salt"]).select("doc_id", "mark", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    docs = docs.select("doc_id", "text", "source")
+    return Plan(docs, weights, cap).put(docs).select("doc_id", *(f"{added_name(docs)}.{c}" for c in ("mark", "size", "source_size", "target", "copies")))
+
+
+def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The rows of docs of which mix() takes copies, with size, source_size, target, copies and taken, the words in all copies.
+
+    Columns of docs by these names are replaced; all else of mix() holds.
+    """
+    found, name, added = Plan(docs, weights, cap).put(docs), added_name(docs), ["size", "source_size", "target", "copies"]
+    found = found.where(F.col(f"{name}.copies") > 0)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*added, "taken")]
+    return found.select(*kept, *(f"{name}.{c}" for c in added), (F.col(f"{name}.copies") * F.col(f"{name}.size")).alias("taken"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
