@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, pii, quality, simhash
-from tidemark.llm.shared import read, stored
+from tidemark.llm.shared import read, spent, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +38,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the number of copies and what it rests on."""
-    taken = stored(mixing.mix(docs).where("copies > 0").withColumnRenamed("doc_id", "taken_id"), "mix")
-    added = ["size", "source_size", "target", "copies"]
-    kept = docs.drop(*added, "taken", "mark", "taken_id")
-    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("doc_id", "text") == F.col("mark"))
-    # The mix grows with the documents, so it is joined by a shuffle at every size.
-    return kept.join(taken.hint("merge"), same).select(*(f"`{c}`" for c in kept.columns), *added, (F.col("copies") * F.col("size")).alias("taken"))
+    return mixing.taken(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -61,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        spent(before)
     return STAGES[-1][1](spark, docs, sf_dir)
