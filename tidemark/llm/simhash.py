@@ -280,29 +280,61 @@ def sets(words_per_shingle: int):
 
 
 def replicate_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, f0, f1, n, root, keys) to (anchor, home, node, f0, f1, n, root): each set at each of its keys."""
+    """(node, rep, root, n, f0, f1, keys) to (anchor, home, node, rep, root, n, f0, f1): each set at each of its keys."""
     for batch in batches:
-        found = [np.frombuffer(x, np.int64) for x in batch.column(5).to_pylist()]
+        found = [np.frombuffer(x, np.int64) for x in batch.column(6).to_pylist()]
         row = np.repeat(np.arange(len(found)), [len(x) for x in found])
         anchor = np.concatenate([*found, np.zeros(0, np.int64)])
-        columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in range(5)]
-        yield pa.record_batch([pa.array(x) for x in (anchor, np.ones(len(anchor), bool), *columns)], names=["anchor", "home", "node", "f0", "f1", "n", "root"])
+        columns = [batch.column(k).to_numpy(zero_copy_only=False)[row] for k in range(6)]
+        yield pa.record_batch([pa.array(x) for x in (anchor, np.ones(len(anchor), bool), *columns)], names=["anchor", "home", "node", "rep", "root", "n", "f0", "f1"])
+
+
+def neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (anchor, node) in the order of anchor: pairs of nodes next to each other, or next but one."""
+    anchor, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        anchor, node = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in ((0, anchor), (1, node)))
+        pairs = [np.stack([node[:-lag], node[lag:]])[:, anchor[:-lag] == anchor[lag:]] for lag in (1, 2) if len(node) > lag]
+        if pairs:
+            pairs = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+            yield pa.record_batch({"a": pairs[0], "b": pairs[1]})
+        anchor, node = anchor[-2:], node[-2:]
+
+
+def _shared(members: np.ndarray, row: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many hashes the sets of each pair have in common."""
+    out = np.zeros(len(row), np.int64)
+    sizes = np.array([len(x) // 4 for x in members], np.int64)
+    many = np.cumsum(sizes[row])
+    at = 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PAIRS, "right")))
+        homes, home = np.unique(other[at:to], return_inverse=True)
+        held = np.concatenate([np.frombuffer(members[h], np.uint32) for h in homes]).astype(np.uint64) | np.repeat(np.arange(len(homes), dtype=np.uint64), sizes[homes]) << np.uint64(32)
+        pair = np.repeat(np.arange(to - at), sizes[row[at:to]])
+        asked = np.concatenate([np.frombuffer(members[r], np.uint32) for r in row[at:to]]).astype(np.uint64) | home.astype(np.uint64)[pair] << np.uint64(32)
+        place = np.searchsorted(held, asked).clip(max=len(held) - 1)
+        out[at:to] = np.bincount(pair[held[place] == asked], minlength=to - at)
+        at = to
+    return out
 
 
 def compare_sets(similarity: float):
-    """For mapInArrow over (anchor, salt, home, node, f0, f1, n, root) as meetings() takes them: pairs of nodes with different
-    roots that may be alike, by sizes and fingerprints."""
+    """For mapInArrow over (anchor, salt, home, rep, root, n, f0, f1, members) as meetings() takes them: stars of the nodes that
+    are as similar, of those with different roots. Sizes and fingerprints spare most counts."""
     most = most_apart(similarity, 128)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, node, f0, f1, n, root), row, other in meetings(batches):
+        for (_, _, _, rep, root, n, f0, f1, members), row, other in meetings(batches, 1 << 13):
             near = (root[row] != root[other]) & (np.minimum(n[row], n[other]) >= _least(similarity, np.maximum(n[row], n[other])))
             row, other = row[near], other[near]
             near = np.bitwise_count((f0[row] ^ f0[other]).view(np.uint64)).astype(np.int64) + np.bitwise_count((f1[row] ^ f1[other]).view(np.uint64)) <= most
             near |= np.minimum(n[row], n[other]) < SMALL  # ties make the bits of small sets differ more
             row, other = row[near], other[near]
-            pairs = np.unique(np.stack([np.minimum(node[row], node[other]), np.maximum(node[row], node[other])]), axis=1)
-            yield pa.record_batch({"a": pairs[0], "b": pairs[1]})
+            if len(row):
+                near = _shared(members, row, other) >= _least(similarity / (1 + similarity), n[row] + n[other])
+                u, v = forest(rep[row[near]], rep[other[near]])
+                yield pa.record_batch({"u": u, "v": v})
 
     return of
 
@@ -330,46 +362,47 @@ def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8
     link() bring together by their SimHash, which reaches up to 3 of 64 bits; sets this similar differ in about 10, so
     sets also meet at KEYS keys, each of MINIMA least hashes: at 0.8 all but 3 pairs in a million share one, and
     more alike ones sooner, whatever the edit. Sets that hold a common passage among other text share a key
-    only if all its minima fall in the passage. At first a set is compared with the first at a key alone; what that links is
-    not compared again, so a large group of near copies takes few pairs. Sizes and a 128-bit SimHash, which tells six
-    standard deviations apart, spare further counts.
+    only if all its minima fall in the passage. At first a set is compared with the two before it at each key, in the order of
+    sizes and fingerprints; what that links is not compared again. All others at a key are compared where they meet, so
+    a group's pairs are never rows. Sizes and a 128-bit SimHash, which tells six standard deviations apart, spare counts.
 
     Null and blank texts are alike; rows whose set only rows without doc_id share have component_id null.
     """
-    ready(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
     found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sets(words_per_shingle), "doc_id long, text_hash long, node long, f0 long, f1 long, n long, keys binary, members binary"), "sets")
     least = F.min(F.struct("doc_id", "f0", "f1", "n", "keys")).alias("x")
     nodes = stored(found.where("doc_id is not null").groupBy("node").agg(least).select("node", F.col("x.doc_id").alias("rep"), "x.f0", "x.f1", "x.n", "x.keys"), "nodes")
-    spread = "anchor long, home boolean, node long, f0 long, f1 long, n long, root long"
+    spread = "anchor long, home boolean, node long, rep long, root long, n long, f0 long, f1 long"
     reps = nodes.select("node", "rep")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "pairs")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        mine = found.where("doc_id is not null").select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"])
-        mine = stored(mine.join(reps, "node"), "members")
-        u, v = (mine.select(F.col("node").alias(x), F.col("rep").alias(y), F.col("members").alias(z)) for x, y, z in (("a", "u", "x"), ("b", "v", "y")))
-        links = stored(pairs.join(u, "a").join(v, "b").select("u", "v", "x", "y").mapInArrow(verify_sets(similarity), "u long, v long"), "links")
-        spent(pairs, mine)
-        return links
+    def members(asked: DataFrame) -> DataFrame:
+        return found.where("doc_id is not null").select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"])
 
     prints = stored(nodes.groupBy("f0").agg(F.min("node").alias("rep")), "fingerprints")
     same = nodes.select("f0", "node").join(prints, "f0").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     near = link(prints.select(F.col("f0").alias("fp"), "rep")).toDF("a", "b")
-    every = nodes.select("node", "f0", "f1", "n", F.col("node").alias("root"), "keys").mapInArrow(replicate_sets, spread).select("anchor", "node")
-    star = every.groupBy("anchor").agg(F.min("node").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
-    star = every.join(star, "anchor").groupBy("node").agg(F.min("a").alias("a")).where("a <> node").select("a", F.col("node").alias("b"))
-    some = linked(same.union(near).union(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    every = nodes.select("node", "rep", F.col("rep").alias("root"), "n", "f0", "f1", "keys").mapInArrow(replicate_sets, spread)
+    order = ("anchor", "n", "f0", "node")
+    lined = every.select(*order).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    beside = lined.select("anchor", "node").mapInArrow(neighbours, "a long, b long")
+    pairs = stored(same.union(near).union(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    mine = stored(members(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).join(reps, "node"), "members")
+    u, v = (mine.select(F.col("node").alias(x), F.col("rep").alias(y), F.col("members").alias(z)) for x, y, z in (("a", "u", "x"), ("b", "v", "y")))
+    some = stored(pairs.join(u, "a").join(v, "b").select("u", "v", "x", "y").mapInArrow(verify_sets(similarity), "u long, v long"), "links")
+    spent(prints, pairs, mine)
     roots = components(some)
-    rooted = stored(nodes.join(roots.toDF("of", "root"), F.col("rep") == F.col("of"), "left").select("node", "f0", "f1", "n", F.coalesce("root", "rep").alias("root"), "keys"), "rooted")
+    rooted = stored(nodes.join(roots.toDF("of", "root"), F.col("rep") == F.col("of"), "left").select("node", "rep", F.coalesce("root", "rep").alias("root"), "n", "f0", "f1", "keys"), "rooted")
     rest = rooted.mapInArrow(replicate_sets, spread)
-    mixed_ = rest.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
-    rest = stored(rest.join(stored(mixed_, "open-keys"), "anchor", "left_semi"), "open-sets")
-    more = linked(_together(_split(rest, ["node", "f0", "f1", "n", "root"])).mapInArrow(compare_sets(similarity), "a long, b long"))
+    open_ = stored(rest.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor"), "open-keys")
+    rest = stored(rest.join(open_, "anchor", "left_semi"), "open-sets")
+    rest = rest.join(members(rest.select("node").distinct()), "node")
+    met = _together(_split(rest, ["rep", "root", "n", "f0", "f1", "members"]))
+    more = stored(met.mapInArrow(compare_sets(similarity), "u long, v long"), "links")
     roots = components(some.union(more)).toDF("of", "root")
     of = stored(reps.join(roots, F.col("rep") == F.col("of"), "left").select("node", F.coalesce("root", "rep").alias("component_id")), "classes")
     out = stored(found.select("doc_id", "text_hash", "node").join(of, "node", "left").select("doc_id", "text_hash", "component_id"), "near-duplicates")
-    spent(found, nodes, prints, some, rooted, rest, more, of)
+    spent(found, nodes, some, rooted, open_, more, of)
     return out
 
 
