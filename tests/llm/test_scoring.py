@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -394,6 +395,30 @@ def test_names_keep_coreference(spark, inline):
     assert found[2].text == "Anna Smith" and re.fullmatch(rf"Mr \w+ {m[2]}", found[3].text) and "Paul " not in found[3].text
 
 
+def test_long_runs_of_every_pattern(spark):
+    """100,000 repetitions of what the patterns repeat neither overflow a stack nor take long."""
+    n = 100_000
+    texts = ["a@" + "b." * n + "bb", "a" * n + "@" + "b" * n + ".c", "1" * n, "1." * n, "123 " * n, "+1" + " 22" * n, "AB12" + " ABCD" * n, "Mr " * n, "0123456789abcdef" * n, "ab12:" * n, "-12" * n, "a@b" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.redact(docs, "k").collect()}
+    assert len(found) == len(texts) and found[0].n_entities == 1 and found[0].text.count("@") == 1 and len(found[0].text) < 100 and found[1].n_entities == 1
+
+
+def test_names_of_other_titles_and_scripts_and_ipv6(spark):
+    docs = spark.createDataFrame([(1, "Dr. Jane Roe and Prof Roe; Mr Γιώργος Παπάς; Dr Ann Lee, Mrs Ann Lee. fe80:0:0:0:1:2:3:4 or FE80:0:0:0:1:2:3:4, 2001:db8::17; std::abs a::b 12:30:45")], "doc_id long, text string")
+    r = pii.redact(docs, "k").first()
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof (\w+); Mr (\w+) (\w+); Dr (\w+) (\w+), Mrs (\w+) (\w+)\. ([0-9a-f:]+) or ([0-9a-f:]+), ([0-9a-f:]+); std::abs a::b 12:30:45", r.text)
+    assert m and r.n_entities == 8 and m[2] == m[3] and (m[6], m[7]) == (m[8], m[9]) and m[10] == m[11] != m[12]
+    assert m[6] in pii.GIVEN["latin", "f"] and m[4] in pii.GIVEN["greek", "m"] and m[5] in pii.FAMILY["greek"] and "Roe" not in r.text
+
+
+def test_hints_leave_out_no_entity(spark, corpus):
+    """Entities found in the whole corpus are those that Python finds with the same patterns, tried in the same order."""
+    found = {r.doc_id: r.n_entities for r in pii.redact(spark.createDataFrame(list(corpus.items()), "doc_id long, text string"), "k").collect()}
+    any_ = regex.compile(pii.ANY.replace("\\d", "[0-9]").replace("[\\w", "[A-Za-z0-9_"))
+    assert found == {i: sum(1 for _ in any_.finditer(t or "")) for i, t in corpus.items()} and sum(found.values()) > 10
+
+
 @pytest.mark.parametrize("inline", [pii.MOST_INLINE, 3])
 def test_surrogates_stay_distinct_where_they_collide(spark, inline):
     """60 surnames for 16 surrogates: first draws collide, the exceptions' ways agree, none is another's entity."""

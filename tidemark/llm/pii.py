@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import read, stored
 
 #: What is taken for an entity, tried in this order at each place. Names are those that a title introduces.
-TITLE = r"(?:Mrs?|Ms|Miss|Sir|Herrn?|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Г-н|Г-жа)\.?"
+TITLE = r"(?:Mrs?|Ms|Miss|Sir|Dr|Prof|Herrn?|Frau|Señora?|Sra?|Monsieur|Madame|Mme|Г-н|Г-жа)\.?"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)++",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d\-])(?:\d{4}[ \-]){3}\d{4}(?![\d\-])|(?<!\d)\d{13,19}(?!\d)",
@@ -22,22 +24,35 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}}){TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a text must contain somewhere for any entity of these types to be in it; a repeated group in a pattern is possessive,
+#: since the engine takes a stack frame for each repetition of one that can be tried again.
+HINTS = {
+    ("email",): lambda t: t.contains("@"),
+    ("ip", "ipv6", "iban", "card", "ssn", "phone"): lambda t: t.rlike("[0-9]"),
+    ("secret",): lambda t: t.rlike("[0-9]|[a-f]{32}") | reduce(lambda a, b: a | b, [t.contains(x) for x in ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")]),
+    ("name",): lambda t: reduce(lambda a, b: a | b, [t.contains(x) for x in ("Mr", "Ms", "Miss", "Sir", "Dr", "Prof", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "Г-")]),
+}
 
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Г-жа)\b"
 
+NEUTRAL = r"^(?:Dr|Prof)\b"
+
 #: Given names by script and gender, and family names by script.
 GIVEN = {
     ("latin", "f"): ["Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hilda", "Ines", "Julia", "Karin", "Lydia", "Marta", "Nora", "Olga", "Paula"],
     ("latin", "m"): ["Albin", "Boris", "Conrad", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Linus", "Martin", "Niklas", "Oskar", "Paul"],
     ("cyrillic", "f"): ["Анна", "Вера", "Дарья", "Елена", "Зоя", "Ирина", "Лидия", "Мария"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Лев"],
+    ("greek", "f"): ["Άννα", "Ελένη", "Ζωή", "Ιωάννα", "Κλειώ", "Μαρία", "Νίκη", "Σοφία"],
+    ("greek", "m"): ["Αντώνης", "Γιάννης", "Δημήτρης", "Ηλίας", "Κώστας", "Μάνος", "Νίκος", "Πέτρος"],
 }
 FAMILY = {
     "latin": ["Abel", "Berger", "Castell", "Dorn", "Ebner", "Falk", "Gruber", "Hartl", "Imhof", "Jansen", "Keller", "Lorenz", "Maurer", "Norden", "Olsen", "Peters"],
     "cyrillic": ["Белов", "Волков", "Громов", "Дронов", "Ершов", "Жуков", "Зуев", "Котов"],
+    "greek": ["Βλάχος", "Γαλάνης", "Δήμου", "Καράς", "Λάμπρου", "Μάνου", "Νικολάου", "Ράλλης"],
 }
 #: Letters that spell the number of a surrogate name which lists alone can't tell apart.
-SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "xu", "za"], "cyrillic": ["ба", "де", "фи", "го", "ку", "ла", "ме", "ни", "по", "ру", "са", "те", "ви", "во", "ху", "за"]}
+SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "xu", "za"], "cyrillic": ["ба", "де", "фи", "го", "ку", "ла", "ме", "ни", "по", "ру", "са", "те", "ви", "во", "ху", "за"], "greek": ["βα", "γε", "δι", "ζο", "κα", "λε", "μι", "νο", "πα", "ρε", "σι", "το", "φα", "χε", "ψι", "ρο"]}
 
 ROUNDS = 24
 
@@ -58,7 +73,7 @@ def _numeric(type_: Column) -> Column:
 
 def canonical(entity: Column, type_: Column) -> Column:
     """What is one entity: addresses whatever their case, numbers whatever their separators."""
-    return F.when(type_ == "email", F.lower(entity)).when(_numeric(type_), F.regexp_replace(entity, SEPARATORS, "")).otherwise(entity)
+    return F.when(type_.isin("email", "ipv6"), F.lower(entity)).when(_numeric(type_), F.regexp_replace(entity, SEPARATORS, "")).otherwise(entity)
 
 
 def _written(entity: Column, type_: Column, replacement: Column) -> Column:
@@ -88,9 +103,13 @@ def _family(entity: Column) -> Column:
 
 
 def _given(entity: Column, names: Column) -> Column:
-    """f or m, by the title of the name or of one that ends so, and the given name; null if there is none."""
-    female = entity.rlike(FEMALE) | F.exists(names, lambda x: x.endswith(F.concat(F.lit(" "), entity)) & x.rlike(FEMALE))
-    return F.when(F.size(_bare(entity)) > 1, F.concat(F.when(female, "f ").otherwise("m "), F.element_at(_bare(entity), 1)))
+    """f, m or n (not told), by the title of the name or of one in the text that ends so, and the given name; null if there is
+    none."""
+    bare = F.array_join(_bare(entity), " ")
+    titled = lambda titles: entity.rlike(titles) | F.exists(names, lambda x: x.endswith(F.concat(F.lit(" "), bare)) & x.rlike(titles))
+    told = F.exists(F.concat(names, F.array(entity)), lambda x: (x == entity) & x.rlike(f"^{TITLE} ") & ~x.rlike(NEUTRAL) | x.endswith(F.concat(F.lit(" "), bare)) & ~x.rlike(NEUTRAL))
+    gender = F.when(titled(FEMALE), "f ").when(told, "m ").otherwise("n ")
+    return F.when(F.size(_bare(entity)) > 1, F.concat(gender, F.element_at(_bare(entity), 1)))
 
 
 def _parts(entity: Column, type_: Column, names: Column) -> Column:
@@ -102,16 +121,24 @@ def _parts(entity: Column, type_: Column, names: Column) -> Column:
 
 def _titled(text: Column) -> Column:
     """The distinct names in a text that a title introduces."""
-    return F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), F.array().cast("array<string>")))
+    found = F.when(HINTS[("name",)](text), F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)))
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+
+
+def _hinted(text: Column) -> Column:
+    """ANY without the types that text holds no hint of; null if there is no hint at all."""
+    parts = [F.when(hint(text), "|".join(f"(?:{PATTERNS[t]})" for t in PATTERNS if t in types)) for types, hint in HINTS.items()]
+    return F.when(F.coalesce(*parts).isNotNull(), F.concat_ws("|", *parts))
 
 
-def _pattern(names: Column) -> Column:
-    """ANY, and the family names of these names wherever they stand, with a given name of theirs before or without."""
+def _pattern(text: Column, names: Column) -> Column:
+    """The pattern of what is an entity in text, null if nothing can be: _hinted, and the family names of these names wherever
+    they stand, with a given name of theirs before or without."""
     either = lambda x: F.array_join(F.array_distinct(x), "|")
     givens = F.transform(F.filter(names, lambda x: F.size(_bare(x)) > 1), lambda x: F.element_at(_bare(x), 1))
     before = F.when(F.size(givens) > 0, F.concat(F.lit("(?:(?:"), either(givens), F.lit(") )?"))).otherwise("")
     mention = F.concat(F.lit(ANY + r"|(?<!\p{L})"), before, F.lit("(?:"), either(F.transform(names, _family)), F.lit(r")(?!\p{L})"))
-    return F.when(F.size(names) > 0, mention).otherwise(ANY)
+    return F.when(F.size(names) > 0, mention).otherwise(_hinted(text))
 
 
 def draws(entity: Column, type_: Column, attempt: Column, key: str) -> Column:
@@ -139,9 +166,10 @@ def _same_shape(entity: Column, stream: Column) -> Column:
 def surrogate(entity: Column, type_: Column, digest: Column, attempt: Column) -> Column:
     """A replacement of a canonical entity, fixed by its draws: of the same type, gender, script and format.
 
-    A mail address stands in a domain reserved for examples, an IP address in a block that is never routed; a card number
+    A mail address stands in a domain reserved for examples, an IP address in a block that is never routed or kept for documents; a card number
     keeps its length and whether its check digit is right, a phone number its zone, a secret its alphabet and known
-    prefix, a bank account its country, a name its script. A given name is preceded by f or m, for its gender, and a space.
+    prefix, a bank account its country, a name its script. A given name is preceded by f, m or n,
+    for its gender, and a space.
     """
     shaped = _same_shape(entity, digest)
     n = [_number(digest, 1 + 12 * i) for i in range(5)]
@@ -156,20 +184,24 @@ def surrogate(entity: Column, type_: Column, digest: Column, attempt: Column) ->
     prefixed = F.concat(F.substr(entity, F.lit(1), kept), F.substr(shaped, kept + 1))
     iban = F.concat(F.substring(entity, 1, 2), F.substr(shaped, F.lit(3)))
 
-    cyrillic = entity.rlike(r"\p{IsCyrillic}")
+    groups = [F.lower(F.conv(F.pmod(F.shiftright(x, 16 * i), F.lit(65536)).cast("string"), 10, 16)) for x in n[:2] for i in range(3)]
+    ipv6 = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *groups)
+    cyrillic, greek = entity.rlike(r"\p{IsCyrillic}"), entity.rlike(r"\p{IsGreek}")
 
     def named(script: str) -> Column:
         more = F.concat_ws("", *[F.element_at(F.array(*map(F.lit, SYLLABLES[script])), F.pmod(F.shiftright(n[4], 4 * i), F.lit(16)).cast("int") + 1) for i in range(5)])
-        given = F.when(entity.startswith("f "), F.concat(F.lit("f "), pick(GIVEN[script, "f"], n[0]))).otherwise(F.concat(F.lit("m "), pick(GIVEN[script, "m"], n[0])))
+        both = GIVEN[script, "f"] + GIVEN[script, "m"]
+        given = F.concat(F.substring(entity, 1, 2), F.when(entity.startswith("f "), pick(GIVEN[script, "f"], n[0])).when(entity.startswith("m "), pick(GIVEN[script, "m"], n[0])).otherwise(pick(both, n[0])))
         return F.concat(F.when(type_ == "family", pick(FAMILY[script], n[1])).otherwise(given), F.when(attempt > 0, more).otherwise(""))
 
     return (
         F.when(type_ == "email", email)
         .when(type_ == "ip", ip)
+        .when(type_ == "ipv6", ipv6)
         .when(type_.isin("secret", "phone"), prefixed)
         .when(type_ == "iban", iban)
         .when(type_ == "card", _checked(entity, shaped))
-        .when(type_.isin("family", "given"), F.when(cyrillic, named("cyrillic")).otherwise(named("latin")))
+        .when(type_.isin("family", "given"), F.when(cyrillic, named("cyrillic")).when(greek, named("greek")).otherwise(named("latin")))
         .otherwise(shaped)
     )
 
@@ -210,25 +242,36 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
         open_ = stored(drawn.join(good, ["type", "entity"], "left_anti").select("type", "entity"), "open")
         if not open_.take(1):
             return done
-    raise ValueError(f"surrogates still collide after {ROUNDS} rounds: their format leaves too few; some are {open_.limit(3).collect()}")
+    raise ValueError(f"surrogates still collide after {ROUNDS} rounds: their format leaves too few, of types {[r.type for r in open_.select('type').distinct().collect()]}")
+
+
+_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in spark.tidemark.pii.key, which whoever can read may compute surrogates with; where that is unset a random one,
+    the same as long as the application runs and then lost."""
+    return spark.conf.get("spark.tidemark.pii.key", None) or _keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
-def redact(docs: DataFrame, key: str = "tidemark") -> DataFrame:
+def redact(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with text replaced and n_entities added, the number of replacements.
 
     An entity is a match of PATTERNS, or a family name that a title introduces elsewhere in the text, with a given name so
     introduced or without. Titles stay; family names have surrogates of their own, and given names by gender. The same entity (addresses whatever their case, numbers whatever their separators)
     has the same surrogate wherever it stands; different ones have different surrogates. All else in a text stays.
 
+    A text is searched for a type only if it holds what all entities of the type do (HINTS). Without a key, see session_key.
     A surrogate is a function of key and entity, so texts are rewritten where they are read, without a shuffle. Entities
     whose first draw collided are exceptions: up to MOST_INLINE travel with the plan; more are joined to their texts.
 
     A null text stays null with n_entities 0; an empty text stays empty. Repeated rows are replaced alike; an empty table
     gives no rows; other columns stay, but one named n_entities is replaced.
     """
-    docs = docs.withColumn("~titled", _titled(F.col("text")))
-    pattern = _pattern(F.col("~titled"))
-    found = F.coalesce(F.regexp_extract_all("text", pattern, F.lit(0)), F.array().cast("array<string>"))
+    key = key or session_key(docs.sparkSession)
+    docs = docs.withColumn("~titled", _titled(F.col("text"))).withColumn("~pattern", _pattern(F.col("text"), F.col("~titled")))
+    pattern = F.col("~pattern")
+    found = F.coalesce(F.when(pattern.isNotNull(), F.regexp_extract_all("text", pattern, F.lit(0))), F.array().cast("array<string>"))
     parts = F.explode(_parts(F.col("e"), kind(F.col("e")), F.col("~titled"))).alias("x")
     names = dictionary(docs.select("~titled", F.explode(found).alias("e")).select(parts).select("x.type", "x.entity"), key)
     again = stored(names.where("attempt > 0"), "exceptions")
@@ -261,7 +304,7 @@ def redact(docs: DataFrame, key: str = "tidemark") -> DataFrame:
     new = reduce(F.transform, steps, F.col("~found"))
     whole = F.array_join(F.zip_with(F.split("text", pattern, -1), F.concat(new, F.array(F.lit(""))), lambda between, put: F.concat(between, put)), "")
     text = F.when(F.size("~found") > 0, whole).otherwise(F.col("text"))
-    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities", "~titled")]
+    out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities", "~titled", "~pattern")]
     return base.select(*out, F.size("~found").cast("long").alias("n_entities"))
 
 
