@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import WORD, read, ready, spent, stored
+from tidemark.llm.shared import WORD, fresh, read, ready, spent, stored
 
 #: One row for each source is held by the driver: the weights are settings, not data.
 MOST_SOURCES = 1_000_000
@@ -138,12 +138,12 @@ class Plan:
         return F.pmod(mark, F.ceil(of / self.group)).cast("long")
 
     def put(self, docs: DataFrame) -> DataFrame:
-        """docs with a column that its own columns don't have, a struct (mark, size, source_size, target, copies); its name is added_name(docs).
+        """docs with a column that its own columns don't have, a struct (mark, size, source_size, target, copies); its name is fresh(docs).
 
         The plan has a row for each source, size and salt. Up to MOST_SENT of them travel to all tasks and the documents stay
         where they are; more are joined by a shuffle.
         """
-        name = added_name(docs)
+        name = fresh(docs)
         one = self.rows.groupBy("skey", "size").agg(F.any_value("source_size").alias("source_size"), F.any_value("target").alias("target"), F.any_value("of").alias("of"), F.map_from_entries(F.collect_list(F.struct("salt", F.struct("least", "upto")))).alias("salts"))
         one = stored(one.select(F.struct("skey", "size").alias(f"{name}key"), F.struct("source_size", "target", "of", "salts").alias(f"{name}value")), "plan-by-size")
         small = self.rows.count() <= MOST_SENT
@@ -157,11 +157,6 @@ class Plan:
         return joined.withColumn(name, put).drop(f"{name}key", f"{name}value")
 
 
-def added_name(docs: DataFrame) -> str:
-    """A name that no column of docs begins with."""
-    return next(n for n in (f"mix{i}_" for i in range(len(docs.columns) + 1)) if not any(c.lower().startswith(n) for c in docs.columns))
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """(doc_id, mark, size, source_size, target, copies) for each row of docs; mark is the XXH64 of doc_id and text.
 
@@ -176,7 +171,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -
     table gives no rows. Columns of docs other than doc_id, text and source are not read.
     """
     docs = docs.select("doc_id", "text", "source")
-    return Plan(docs, weights, cap).put(docs).select("doc_id", *(f"{added_name(docs)}.{c}" for c in ("mark", "size", "source_size", "target", "copies")))
+    return Plan(docs, weights, cap).put(docs).select("doc_id", *(f"{fresh(docs)}.{c}" for c in ("mark", "size", "source_size", "target", "copies")))
 
 
 def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -184,7 +179,7 @@ def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3)
 
     Columns of docs by these names are replaced; all else of mix() holds.
     """
-    found, name, added = Plan(docs, weights, cap).put(docs), added_name(docs), ["size", "source_size", "target", "copies"]
+    found, name, added = Plan(docs, weights, cap).put(docs), fresh(docs), ["size", "source_size", "target", "copies"]
     found = found.where(F.col(f"{name}.copies") > 0)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*added, "taken")]
     return found.select(*kept, *(f"{name}.{c}" for c in added), (F.col(f"{name}.copies") * F.col(f"{name}.size")).alias("taken"))

@@ -68,6 +68,20 @@ def spent(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def fresh(docs: DataFrame) -> str:
+    """A prefix that no column of docs begins with, for columns that are added for a while."""
+    return next(n for n in (f"own{i}_" for i in range(len(docs.columns) + 1)) if not any(c.lower().startswith(n) for c in docs.columns))
+
+
+#: Rows of a few numbers that are sent to all tasks at most.
+MOST_SENT = 1_000_000
+
+
+def sent(small: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A stored table for the small side of a join: it travels to all tasks up to so many rows, and is shuffled beyond."""
+    return F.broadcast(small) if small.count() <= most else small.hint("merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's code to the executors, once for each application."""
     context = spark.sparkContext

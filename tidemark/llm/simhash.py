@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import chunks, components, forest, read, ready, spent, stored, utf8
+from tidemark.llm.shared import chunks, components, forest, fresh, read, ready, sent, spent, stored, utf8
 from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 
 #: Bits of the three parts of a fingerprint; each part, padded with zero bits, is a word of the Golay code's space.
@@ -377,7 +377,8 @@ def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8
     reps = nodes.select("node", "rep")
 
     def members(asked: DataFrame) -> DataFrame:
-        return found.where("doc_id is not null").select("node", "members").join(asked, "node", "left_semi").dropDuplicates(["node"])
+        some = sent(stored(asked.distinct(), "asked"))
+        return found.where("doc_id is not null").select("node", "members").join(some, "node", "left_semi").dropDuplicates(["node"])
 
     prints = stored(nodes.groupBy("f0").agg(F.min("node").alias("rep")), "fingerprints")
     same = nodes.select("f0", "node").join(prints, "f0").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
@@ -387,29 +388,25 @@ def similar(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8
     lined = every.select(*order).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     beside = lined.select("anchor", "node").mapInArrow(neighbours, "a long, b long")
     pairs = stored(same.union(near).union(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    mine = stored(members(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).join(reps, "node"), "members")
+    mine = stored(members(pairs.select(F.explode(F.array("a", "b")).alias("node"))).join(reps, "node"), "members")
     u, v = (mine.select(F.col("node").alias(x), F.col("rep").alias(y), F.col("members").alias(z)) for x, y, z in (("a", "u", "x"), ("b", "v", "y")))
     some = stored(pairs.join(u, "a").join(v, "b").select("u", "v", "x", "y").mapInArrow(verify_sets(similarity), "u long, v long"), "links")
     spent(prints, pairs, mine)
-    roots = components(some)
-    rooted = stored(nodes.join(roots.toDF("of", "root"), F.col("rep") == F.col("of"), "left").select("node", "rep", F.coalesce("root", "rep").alias("root"), "n", "f0", "f1", "keys"), "rooted")
+    roots = sent(components(some).toDF("of", "root"))
+    rooted = stored(nodes.join(roots, F.col("rep") == F.col("of"), "left").select("node", "rep", F.coalesce("root", "rep").alias("root"), "n", "f0", "f1", "keys"), "rooted")
     rest = rooted.mapInArrow(replicate_sets, spread)
     open_ = stored(rest.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor"), "open-keys")
-    rest = stored(rest.join(open_, "anchor", "left_semi"), "open-sets")
-    rest = rest.join(members(rest.select("node").distinct()), "node")
-    met = _together(_split(rest, ["rep", "root", "n", "f0", "f1", "members"]))
+    opened = stored(rest.join(sent(open_), "anchor", "left_semi"), "open-sets")
+    held = opened.join(members(opened.select("node")).hint("merge"), "node")
+    met = _together(_split(held, ["rep", "root", "n", "f0", "f1", "members"]))
     more = stored(met.mapInArrow(compare_sets(similarity), "u long, v long"), "links")
     roots = components(some.union(more)).toDF("of", "root")
     of = stored(reps.join(roots, F.col("rep") == F.col("of"), "left").select("node", F.coalesce("root", "rep").alias("component_id")), "classes")
     out = stored(found.select("doc_id", "text_hash", "node").join(of, "node", "left").select("doc_id", "text_hash", "component_id"), "near-duplicates")
-    spent(found, nodes, some, rooted, open_, more, of)
+    spent(found, nodes, some, rooted, open_, opened, more, of)
     return out
 
 
-#: Rows of 16 bytes that are sent to all tasks at most.
-MOST_SENT = 1_000_000
-
-
 def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without the near duplicates: of linked documents the one with the smallest doc_id stays, once.
 
@@ -417,18 +414,17 @@ def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float =
     """
     found = similar(docs, words_per_shingle, similarity)
     here = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = stored(found.where(~here).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone.hint("merge")
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
-    twice = stored(found.where(here).groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated-rows")
+    own = fresh(docs)
+    gone = stored(found.where(~here).select(F.struct("doc_id", "text_hash").alias(f"{own}gone")).distinct(), "gone")
+    keyed = docs.withColumn(f"{own}key", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
+    left = keyed.join(sent(gone), F.expr(f"{own}key <=> {own}gone"), "left_anti")
+    twice = stored(found.where(here).groupBy("doc_id", "text_hash").count().where("count > 1").select(F.struct("doc_id", "text_hash").alias(f"{own}twice")), "repeated-rows")
     if not twice.take(1):
-        return left
+        return left.drop(f"{own}key")
     # Of rows that are repeated one stays; all others need not move.
-    mark, again = (next(n for n in (f"{x}{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("mark", "again"))
-    twice = twice.select(F.struct("doc_id", "text_hash").alias("key"), F.lit(True).alias("yes"))
-    keyed = left.withColumn(mark, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
-    keyed = keyed.join(F.broadcast(twice) if twice.count() <= MOST_SENT else twice.hint("merge"), F.expr(f"{mark} <=> key"), "left").withColumn(again, F.col("yes")).drop("key", "yes")
-    return keyed.where(f"{again} is null").drop(mark, again).union(keyed.where(again).dropDuplicates([mark]).drop(mark, again))
+    left = left.join(sent(twice), F.expr(f"{own}key <=> {own}twice"), "left")
+    one = left.where(f"{own}twice is not null").dropDuplicates([f"{own}key"])
+    return left.where(f"{own}twice is null").union(one).drop(f"{own}key", f"{own}twice")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
