@@ -88,11 +88,11 @@ def test_mix_is_the_same_however_rows_are_dealt_out(spark, sf, odd):
 @pytest.mark.parametrize("sent", [0, 1000])
 def test_taken_keeps_columns_that_clash(spark, odd, sent, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SENT", sent)
-    docs = odd.withColumns({c: F.lit(c) for c in ("key", "value", "mark", "mix0_", "size", "copies", "skey", "salt")})
+    docs = odd.withColumns({c: F.lit(c) for c in ("key", "value", "mark", "own0_", "size", "copies", "skey", "salt")})
     found = mixing.taken(docs)
     assert found.columns == [*(c for c in docs.columns if c not in ("size", "copies")), "size", "source_size", "target", "copies", "taken"]
     rows = found.collect()
-    assert rows and all((r.key, r.value, r.mark, r.mix0_, r.skey, r.salt) == ("key", "value", "mark", "mix0_", "skey", "salt") and r.taken == r.copies * r["size"] > 0 for r in rows)
+    assert rows and all((r.key, r.value, r.mark, r.own0_, r.skey, r.salt) == ("key", "value", "mark", "own0_", "skey", "salt") and r.taken == r.copies * r["size"] > 0 for r in rows)
     assert sorted((str(r.doc_id), r.copies) for r in rows) == sorted((str(r.doc_id), r.copies) for r in mixing.mix(odd).where("copies > 0").collect())
 
 
@@ -276,48 +276,34 @@ def test_lm_contract_and_gain(spark, sf, corpus):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_model_against_dictionaries(spark):
-    """The tries' scores are those of the same model computed with plain dictionaries, up to the probabilities' steps."""
-    rng = random.Random(3)
-    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(40)))) for i in range(60)]
-    held = lambda i: i % 7 == 2
-    rarest = {2: 40, 3: 12}
-    found = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), F.col("doc_id") % 7 == 2, rarest).collect()}
-    tokens = {i: [*t.split(), None] for i, t in rows}
-    c = Counter(x for i in tokens if not held(i) for x in tokens[i])
-    total, types = sum(c.values()), len(c)
-    usual = {n: {w for w in c if w is not None and c[w] * rarest[n] >= total} for n in (2, 3)}
-    grams = {n: Counter() for n in (2, 3)}
-    child = lambda n, w: w if w is None or w in usual[n] else "<other>"
-    for i, ts in tokens.items():
-        for n in (2, 3):
-            for k in range(n - 1, len(ts)):
-                context = tuple(ts[k - n + 1 : k])
-                if not held(i) and set(context) <= usual[n]:
-                    grams[n][context, child(n, ts[k])] += 1
-    for i, ts in tokens.items():
-        score = 0.0
-        for k, w in enumerate(ts):
-            p = (c[w] + 1) / (total + types + 1)
-            for n in (2, 3):
-                context = tuple(ts[k - n + 1 : k])
-                if k >= n - 1 and set(context) <= usual[n]:
-                    counts = {x: m for (y, x), m in grams[n].items() if y == context}
-                    whole = sum(counts.values())
-                    if whole:
-                        own = counts.get(child(n, w), 0) if child(n, w) != "<other>" else 0
-                        rest = 1 - sum(m - lm.DISCOUNT for x, m in counts.items() if x != "<other>") / whole
-                        p = (max(own - lm.DISCOUNT, 0) / whole if own else 0) + rest * p
-            score += log10(p)
-        assert found[i].score == pytest.approx(score, abs=2e-3 * len(ts)), i
-
-
-def test_lm_learns_from_rare_words(spark):
-    """By default no n-gram is left out: the scores are those of plain dictionaries of all words, however rare."""
+def test_trie_look_ups(tmp_path):
+    """Random and ordered look-ups agree with a dictionary, from anonymous pages and from files."""
+    rng = random.Random(8)
+    grams = Counter((rng.choice([3, 10**12, 2**63 + rng.randrange(40)]), rng.randrange(300)) for _ in range(4000))
+    order = sorted(grams)
+    context, child = (np.array([g[k] for g in order], np.uint64) for k in (0, 1))
+    count = np.array([grams[g] if g[1] % 5 else 0 for g in order])
+    total = Counter()
+    for (c, _), n in zip(order, count.tolist(), strict=True):
+        total[c] += n
+    of = np.unique(context, return_inverse=True)[1]
+    expected = lm.quantised(np.array([max(n - lm.DISCOUNT, 0) / total[c] for (c, _), n in zip(order, count.tolist(), strict=True)]))
+    for folder in (None, tmp_path):
+        trie = lm.Trie(context, child, count, folder)
+        share, rest = trie.look_up(context, child)
+        assert (share == expected).all() and (trie.look_up_all(of, child) == expected).all()
+        kinds = Counter(c for (c, _), n in zip(order, count.tolist(), strict=True) if n)
+        assert (rest == lm.quantised(np.array([lm.DISCOUNT * kinds[c] / total[c] for c, _ in order]))).all()
+
+
+@pytest.mark.parametrize(("hot", "parts"), [(None, 5), (3, 5), (None, 1)])
+def test_lm_learns_from_rare_words(spark, hot, parts):
+    """No n-gram is left out: the scores are those of plain dictionaries of all words, however rare, up to the steps of
+    probabilities; also where contexts are dealt out to several parts, and where one segment has all."""
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["a", f"r{rng.randrange(900)}"]) for _ in range(30)) + f" only{i // 2} once{i // 2} said{i // 2}") for i in range(120)]
     held = lambda i: i % 7 == 2
-    found = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), F.col("doc_id") % 7 == 2).collect()}
+    found = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), F.col("doc_id") % 7 == 2, hot).collect()}
     tokens = {i: [*t.split(), None] for i, t in rows}
     c = Counter(x for i in tokens if not held(i) for x in tokens[i])
     total, types = sum(c.values()), len(c)

@@ -9,10 +9,16 @@ import numpy as np
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """width bits of each value, one after another in 64-bit words; a spare word ends them."""
-    bits = np.zeros((len(values) * width + 63) // 64 * 64 + 64, np.uint8)
-    for b in range(width):
-        bits[b : len(values) * width : width] = (values >> np.uint64(b) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    out = np.zeros((len(values) * width + 63) // 64 + 1, np.uint64)
+    if not width or not len(values):
+        return out
+    bit = np.arange(len(values)) * width
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    over = np.flatnonzero(shift > 64 - width)  # at most one value of each word goes on in the next
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return out
 
 
 def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
@@ -63,6 +69,12 @@ class EliasFano:
         high = self._select(at.astype(np.int64), 1) - at
         return high.astype(np.uint64) << np.uint64(self.width) | unpack(self.low, self.width, at)
 
+    def values(self) -> np.ndarray:
+        """The whole sequence."""
+        at = np.arange(self.n)
+        high = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n] - at
+        return high.astype(np.uint64) << np.uint64(self.width) | unpack(self.low, self.width, at)
+
     def successor(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> np.ndarray:
         """First place from lo on, hi at most, whose value is x or more; values from lo to hi must not decrease."""
         h = (x >> np.uint64(self.width)).astype(np.int64)
