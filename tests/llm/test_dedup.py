@@ -206,6 +206,39 @@ def test_passages_of_few_sentences(spark, shape):
         assert 51 - 2 * (substrings.WINDOW - 1) <= gone <= 64, i
 
 
+def test_passages_of_other_scripts(spark):
+    """Sentences end with stops of other scripts, and texts without spaces are cut, too."""
+    rng = random.Random(3)
+    chars = lambda a, n: "".join(chr(a + rng.randrange(80)) for _ in range(n))
+    shapes = {
+        "chinese": lambda: "。".join(chars(0x4E00, rng.randrange(6, 14)) for _ in range(8)) + "。", "thai": lambda: chars(0x0E01, 90)[:90].replace("\u0e3b", "ก"), "rare": lambda: chars(0x20000, 70),
+        "arabic": lambda: " ".join(chars(0x0628, 4) for _ in range(5)) + "؟ " + " ".join(chars(0x0628, 4) for _ in range(6)) + "؟ " + " ".join(chars(0x0628, 4) for _ in range(7)) + "؟",
+    }
+    rows, later = [], []
+    for make in shapes.values():
+        for _ in range(5):
+            passage = make()
+            rows += [(len(rows), f"{make()} {passage} {make()}"), (len(rows) + 1, f"{make()} {passage} {make()}")]
+            later.append((len(rows) - 1, passage))
+    rows.append((len(rows), rows[0][1]))
+    found = {r.doc_id: r for r in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    short = [(i, len(passage), len(rows[i][1]) - len(found[i].text)) for i, passage in later if len(rows[i][1]) - len(found[i].text) < 0.4 * len(passage)]
+    assert not short
+    assert not any(found[i].n_removed for i in range(0, len(rows) - 1, 2)) and found[len(rows) - 1].text == ""
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_span_ids_have_no_sentinel(spark, parts):
+    """The largest doc_id is like any other; texts of one doc_id are documents of their own however rows are dealt out."""
+    rng = random.Random(2)
+    passage, other = words(rng, 60, 10**6), words(rng, 30, 10**6)
+    rows = [(2**63 - 1, passage), (None, passage), (5, passage), (7, f"{passage}. {other}"), (7, f"{passage}. {other} more")]
+    found = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert sorted((str(r.doc_id), r.n_removed == r.n_sentences, r.n_removed > 0) for r in found if r.doc_id != 7) == [("5", False, False), (str(2**63 - 1), True, True), ("None", True, True)]
+    left = [len(r.text.split()) for r in found if r.doc_id == 7]
+    assert len(left) == 2 and min(left) <= 20 < max(left) < 60
+
+
 def test_sentence_spans_odd_rows(spark, odd, odd_rows, empty):
     found = substrings.deduplicate(odd.withColumn("span", F.lit(1))).collect()
     assert len(found) == len(odd_rows)
@@ -253,6 +286,13 @@ def test_vectors_against_brute_force(spark, clustered):
         assert all(r.kept == (r.component_id == r.vec_id) for r in got.values()) and got[3000].n_links == 0 and got[3007].n_links == 1
 
 
+def test_vectors_of_any_length(spark):
+    """Norms neither overflow nor vanish: cosines of huge and tiny vectors count like any other."""
+    rows = [(1, [1.7e308] * 4), (2, [1e308] * 4), (3, [5e-324] * 4), (4, [1.0, 1.0, 1.0, 0.9]), (5, [-1e308] * 4), (6, [0.0, 0.0, 0.0, 1e-320]), (None, [1.0] * 4)]
+    found = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("x"))).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in found.items()} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), None: (0, None)}
+
+
 def test_vectors_none_sound(spark):
     found = vectors.near_duplicates(spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")).collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in found} == {(1, 0, 1, True), (2, 0, 2, True)}
