@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import asyncio
 import math
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -25,7 +26,7 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-TYPED = [("temp", "f64"), ("flag", "bool"), ("tag", "utf8")]
+MOORINGS = [("berth", "i64"), ("note", "utf8"), ("depth", "f64"), ("free", "bool")]
 
 
 def test_flush_and_reopen(engine):
@@ -46,12 +47,13 @@ def test_unflushed_rows_are_seen_directly_but_not_in_snapshots(engine):
 
 
 def test_log_replays_what_no_flush_stored(engine):
-    engine.create_table_typed("t", TYPED)
-    engine.append_batch("t", [1000, 1001, 1002], [[1.0, None, math.nan], [True, False, None], ["a", None, "c'\n"]])
+    engine.create_table_typed("moorings", MOORINGS)
+    engine.append_row("moorings", 77, [4, "a \"quoted\"\nline", -0.25, None])
+    engine.append_batch("moorings", [-3, 2**40], [[None, -(2**63)], ["", None], [math.inf, math.nan], [False, True]])
     found = again(engine)
-    times, (temp, flag, tag) = found.range_typed("t", 0, 5000)
-    assert times == [1000, 1001, 1002] and temp[:2] == [1.0, None] and math.isnan(temp[2])
-    assert flag == [True, False, None] and tag == ["a", None, "c'\n"] and found.last_seq == 3
+    times, (berth, note, depth, free) = found.range_typed("moorings", -(2**62), 2**62)
+    assert times == [-3, 77, 2**40] and berth == [None, 4, -(2**63)] and note == ["", "a \"quoted\"\nline", None]
+    assert depth[:2] == [math.inf, -0.25] and math.isnan(depth[2]) and free == [False, None, True] and found.last_seq == 3
 
 
 def test_torn_log_line_is_left_out(engine):
@@ -157,19 +159,21 @@ def test_insert_literals_stay_what_they_are(engine):
 
 
 def test_arrow(engine):
-    engine.create_table_typed("t", TYPED)
-    data = pa.table({"tag": ["a", None, "b"], "ts": pa.array([1000, 1001, 1002], pa.int64()), "flag": [True, None, False], "temp": [1.0, 2.0, None], "more": [1, 2, 3]})
-    assert engine.append_arrow("t", data) == 3 and engine.append_arrow("t", data.to_batches()[0]) == 3 and engine.append_arrow("t", data.to_reader()) == 3
+    engine.create_table_typed("moorings", MOORINGS)
+    data = pa.table({"free": [None, True], "depth": [3.25, None], "ts_ms": pa.array([50, 40], pa.int64()), "tide": ["low", "high"], "note": [None, "quay 7"], "berth": [12, None]})
+    for form in (data, data.to_batches()[0], data.to_reader()):
+        assert engine.append_arrow("moorings", form) == 2
     with pytest.raises(SchemaError):
-        engine.append_arrow("t", data, strict=True)
-    assert engine.append_arrow("t", data.drop_columns(["more"]), strict=True) == 3
-    for bad in (data.drop_columns(["tag"]), data.drop_columns(["ts"]), data.set_column(1, "ts", pa.array([1, None, 2], pa.int64())), data.set_column(0, "tag", pa.array([1, 2, 3]))):
+        engine.append_arrow("moorings", data, strict=True)
+    assert engine.append_arrow("moorings", data.drop_columns(["tide"]), strict=True) == 2
+    for bad in (data.drop_columns(["note"]), data.drop_columns(["ts_ms"]), data.set_column(2, "ts_ms", pa.array([None, 40], pa.int64())), data.set_column(4, "note", pa.array([7, 8]))):
         with pytest.raises(SchemaError):
-            engine.append_arrow("t", bad)
-    big = pa.table({"ts_ms": pa.array(range(5000), pa.int64()), "temp": [0.5] * 5000, "flag": [True] * 5000, "tag": ["x" * 14] * 5000})
-    assert engine.append_arrow("t", big) == 5000
-    out = engine.range_arrow("t", 1000, 1000)
-    assert out.schema.names == ["ts_ms", "temp", "flag", "tag"] and out.num_rows == 5 and out.column("tag").to_pylist() == ["a"] * 4 + ["x" * 14]
+            engine.append_arrow("moorings", bad)
+    n = 3000
+    big = pa.table({"ts": pa.array(range(n), pa.int64()), "berth": list(range(n)), "depth": [k / 4 for k in range(n)], "free": [k % 2 == 0 for k in range(n)], "note": [f"row {k}" for k in range(n)]})
+    assert engine.append_arrow("moorings", big) == n
+    out = engine.range_arrow("moorings", 40, 40)
+    assert out.schema.names == ["ts_ms", "berth", "note", "depth", "free"] and out.column("note").to_pylist() == ["quay 7"] * 4 + ["row 40"] and out.column("depth").to_pylist() == [None] * 4 + [10.0]
 
 
 def test_dataframe_append_and_sequence(engine, spark):
@@ -182,11 +186,21 @@ def test_dataframe_append_and_sequence(engine, spark):
         engine.append_dataframe("t", spark.range(1).selectExpr("id AS ts", "CAST(id AS INT) AS v"))
 
 
+def test_a_batch_is_appended_once(engine, spark):
+    engine.create_table("t", ["a"])
+    some = spark.range(3).selectExpr("id AS ts", "CAST(id AS DOUBLE) AS a")
+    assert [engine.append_dataframe("t", some, ("stream", k)) for k in (0, 0, 1, 1, 0)] == [3, 0, 3, 0, 0]
+    engine.pack_table("t", 2)
+    engine.append_row("t", 9, [0.0])
+    engine.flush()
+    assert again(engine).append_dataframe("t", some, ("stream", 1)) == 0 and engine.append_dataframe("t", some, ("other", 1)) == 3
+
+
 def test_columns_wants_doubles_without_nulls(engine):
-    engine.create_table_typed("t", TYPED)
+    engine.create_table_typed("moorings", MOORINGS)
     engine.create_table("d", ["a"])
     engine.append_row("d", 1, [None])
-    for table in ("t", "d"):
+    for table in ("moorings", "d"):
         with pytest.raises(SchemaError):
             engine.columns(table, 0, 9)
     with pytest.raises(SchemaError):
@@ -231,15 +245,39 @@ def test_snapshot_outlives_writes(engine):
 
 
 def test_statistics(engine):
-    engine.create_table_typed("metrics", TYPED)
-    engine.append_batch("metrics", [1000, 1001, 1002], [[1.0, 2.0, None], [True, False, None], ["a", "äb", None]])
+    engine.create_table_typed("moorings", MOORINGS)
+    engine.append_batch("moorings", [6, 2, 4, 8], [[1, None, None, 4], ["ß", None, "xyz", ""], [0.5, None, None, None], [True, True, None, False]])
     engine.flush()
-    s = engine.stats("metrics")
-    assert (s["rows"], s["segments"], s["columns"], s["raw_ts_bytes"], s["raw_value_bytes"]) == (3, 1, 3, 24, 27)
+    s = engine.stats("moorings")
+    assert (s["rows"], s["segments"], s["columns"], s["raw_ts_bytes"], s["raw_value_bytes"]) == (4, 1, 4, 32, 68)
     assert s["stored_ts_bytes"] > 0 and s["compression_ratio_total_x"] > 0
-    assert [(c["column"], c["logical_bytes"], c["nulls"]) for c in engine.column_stats("metrics")] == [("temp", 16, 1), ("flag", 2, 1), ("tag", 4, 1)]
+    assert [(c["column"], c["logical_bytes"], c["nulls"]) for c in engine.column_stats("moorings")] == [("berth", 16, 2), ("note", 5, 1), ("depth", 8, 3), ("free", 3, 1)]
     found = engine.diagnostics()
-    assert found["pending_rows"] == 0 and found["tables"][0]["rows"] == 3 and found["maintenance"]["pack_fail"] == 0
+    assert found["pending_rows"] == 0 and found["tables"][0]["rows"] == 4 and found["maintenance"]["pack_fail"] == 0
+
+
+def test_a_flipped_byte_is_found(engine):
+    """Pages carry checksums, which reading verifies: without them one wrong byte could pass."""
+    engine.create_table("s", ["value"])
+    engine.append_batch("s", list(range(5000)), [[math.sin(k) for k in range(5000)]])
+    engine.flush()
+    path = next(Path(engine.catalog.store.root).rglob("*.parquet"))
+    for crc in path.parent.glob(".*.crc"):  # else the local file system's own checksums find it
+        crc.unlink()
+    data = bytearray(path.read_bytes())
+    data[len(data) // 2] ^= 1
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        again(engine).columns("s", 0, 9999)
+
+
+def test_commits_and_row_groups_outside_a_range_are_not_read(engine, spark):
+    for day in range(4):
+        engine.append_dataframe("s", spark.range(1000).selectExpr(f"{day} * 100000 + id AS ts", "CAST(id AS DOUBLE) AS value")) if day else engine.create_table("s", ["value"])
+    inside = engine.range("s", 200_500, 200_600)
+    assert len(inside.inputFiles()) == len(engine.catalog.frame(engine.catalog.table("s"), 200_500, 200_600).inputFiles()) < len(engine.snapshot("s").inputFiles())
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts_ms,200500)" in plan and "LessThanOrEqual(ts_ms,200600)" in plan and inside.count() == 101
 
 
 def test_sql_views_and_exports(engine):

@@ -23,6 +23,10 @@ from tidemark.types import ALIAS, SEQ, TS, Columns, SchemaError, check_row, chec
 _ARROW_KINDS = {"f64": pa.types.is_float64, "i64": pa.types.is_int64, "bool": pa.types.is_boolean, "utf8": lambda t: pa.types.is_string(t) or pa.types.is_large_string(t)}
 
 
+#: Rows of a range, at most, that one task sorts: sampling and dealing them out would take longer.
+FEW_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class Options:
     """retention_ms: age beyond which compact_retention_now() drops rows; kept with the engine's files once set.
@@ -47,6 +51,7 @@ class Engine:
         spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
         self.catalog = Catalog(spark, root)
         self._lock = threading.RLock()
+        self._known: dict[str, Columns] = {}
         self._settings()
         scheme = self.catalog.store.fs.getScheme()
         self._log = Log(root.removeprefix("file://").removeprefix("file:").rstrip("/") + "/log.jsonl" if scheme == "file" else None)
@@ -181,13 +186,16 @@ class Engine:
             self.counters.arrow.append((time.monotonic() - began) * 1000)
             return data.num_rows
 
-    def append_dataframe(self, table: str, rows: DataFrame) -> int:
+    def append_dataframe(self, table: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Appends a DataFrame of any size with the table's columns, where it is: nothing passes the driver.
 
-        Sequence numbers rise with the order of partitions and rows, with gaps.
+        Sequence numbers rise with the order of partitions and rows, with gaps. batch is a stream's name and its batch's
+        number: one that is committed already, or an earlier one, is not appended again.
         """
         with self._lock:
             columns = self._columns(table)
+            if batch and self.catalog.table(table).streams.get(batch[0], -1) >= batch[1]:
+                return 0
             self._flush(table)
             time_ = F.col(TS if TS in rows.columns else ALIAS).cast("long").alias(TS)
             same = {n: row_schema(columns)[n].dataType for n, _ in columns}
@@ -195,7 +203,7 @@ class Engine:
                 if name not in rows.columns or rows.schema[name].dataType != kind:
                     raise SchemaError(f"column {name!r} is missing or not {kind.simpleString()}")
             numbered = rows.select(time_, *(F.col(f"`{n}`") for n in same), (F.monotonically_increasing_id() + self._seq + 1).alias(SEQ))
-            made = self._commit(table, numbered)
+            made = self._commit(table, numbered, batch)
             if made is None:
                 return 0
             self._seq = made.max_seq
@@ -203,7 +211,10 @@ class Engine:
             return made.rows
 
     def _columns(self, table: str) -> Columns:
-        return self.catalog.table(table).columns
+        """A table's columns, which never change once it is there."""
+        if table not in self._known:
+            self._known[table] = self.catalog.table(table).columns
+        return self._known[table]
 
     def _add(self, table: str, rows: list[tuple[int, tuple]]) -> None:
         numbered = [(self._seq + 1 + i, t, v) for i, (t, v) in enumerate(rows)]
@@ -214,10 +225,10 @@ class Engine:
         if len(self._buffer[table]) >= self.options.block_rows:
             self._flush(table)
 
-    def _commit(self, table: str, rows: DataFrame):
+    def _commit(self, table: str, rows: DataFrame, batch: tuple[str, int] | None = None):
         found = self.catalog.table(table)
         made = self.catalog.write(found, rows)
-        self.catalog.publish(found, [made])
+        self.catalog.publish(found, [made], batch=batch)
         return made
 
     def _flush(self, table: str) -> None:
@@ -244,7 +255,9 @@ class Engine:
     def range(self, table: str, start_ms: int, end_ms: int, predicates: Iterable[scan.Predicate] = ()) -> DataFrame:
         """Rows with start_ms <= ts_ms <= end_ms by time, ties as appended; predicates (column, op, literal) must all hold."""
         found = self.catalog.table(table)
-        return scan.in_order(scan.filtered(self._rows(found, start_ms, end_ms), found.columns, start_ms, end_ms, predicates))
+        rows = scan.filtered(self._rows(found, start_ms, end_ms), found.columns, start_ms, end_ms, predicates)
+        most = sum(c.rows for c in found.commits if c.max_ts >= start_ms and c.min_ts <= end_ms) + len(self._buffer.get(table, ()))
+        return scan.in_order(rows.coalesce(1) if most <= FEW_ROWS else rows)
 
     def range_arrow(self, table: str, start_ms: int, end_ms: int, predicates: Iterable[scan.Predicate] = ()) -> pa.Table:
         return self.range(table, start_ms, end_ms, predicates).toArrow()

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import engine_tables, relational, series
+from tidemark.queries import engine_tables, interfaces, relational, series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return series.QUERIES | engine_tables.QUERIES | relational.QUERIES
+    return series.QUERIES | engine_tables.QUERIES | interfaces.QUERIES | relational.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return series.SQL | engine_tables.SQL | relational.SQL
+    return series.SQL | engine_tables.SQL | interfaces.SQL | relational.SQL

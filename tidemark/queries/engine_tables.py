@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.engine import Engine
-from tidemark.queries.tables import EV, events
+from tidemark.queries.tables import EV, events, read
 from tidemark.types import SEQ
 
 ALL = (-(2**62), 2**62)
 CUTOFF = 1_705_017_600_000
 DECLARED = [("event_id", "i64"), ("user_id", "i64"), ("event_type", "utf8"), ("value", "f64"), ("bought", "bool")]
-TYPED = [("temp", "f64"), ("flag", "bool"), ("tag", "utf8")]
+#: A table made of the nations: a day for each, from before 1970 on, with nulls in every column that can hold them.
+PORTS = [("name", "utf8"), ("region", "i64"), ("share", "f64"), ("coastal", "bool")]
+DAY = 86_400_000
+
+
+def ports(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """(time, name, region, share, coastal) of each nation, in the order of keys."""
+    found = read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    return [(DAY * (k - 5), None if r == 2 else n, r, None if k % 5 == 0 else k / 8, None if k % 7 == 0 else k % 3 == 0) for k, n, r in found]
 
 
 def _engine(spark: SparkSession) -> Engine:
@@ -35,27 +43,42 @@ def _loaded(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def typed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = _engine(spark)
-    engine.create_table_typed("t", TYPED)
-    engine.append_batch("t", [1000, 1001, 1002], [[1.0, 2.0, None], [True, None, False], ["a", None, "b"]])
-    engine.append_row("t", 999, [-0.5, False, "é"])
+    """Most rows as one batch of columns, the rest one by one, half of them flushed."""
+    engine, rows = _engine(spark), ports(spark, sf_dir)
+    engine.create_table_typed("ports", PORTS)
+    times, *columns = (list(c) for c in zip(*rows[4:], strict=True))
+    engine.append_batch("ports", times, columns)
+    for t, *values in rows[:2]:
+        engine.append_row("ports", t, values)
     engine.flush()
-    return engine.range("t", *ALL)
+    for t, *values in rows[2:4]:
+        engine.append_row_typed("ports", t, values)
+    return engine.range("ports", *ALL)
 
 
 def create_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = _engine(spark)
-    engine.execute("CREATE TABLE t (a i64, b bool, c utf8, d f64)")
-    engine.execute("INSERT INTO t VALUES (1000, 1, true, 'x', 1.5), (1001, null, false, 'it''s, y', 2)")
-    engine.execute("INSERT INTO t (ts_ms, c, d) VALUES (1002, 'z', 3.5), (1003, 'w', 4.5)")
-    return engine.sql("SELECT * FROM t")
+    """Rows as literals of INSERT, with and without a list of columns; columns that are left out are null."""
+    engine, rows = _engine(spark), ports(spark, sf_dir)
+    literal = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else repr(v)
+    engine.execute("CREATE TABLE ports (name utf8, region i64, share f64, coastal bool)")
+    engine.execute("INSERT INTO ports VALUES " + ", ".join(f"({', '.join(map(literal, r))})" for r in rows[:20]))
+    engine.execute("INSERT INTO ports (coastal, ts_ms, name) VALUES " + ", ".join(f"({literal(r[4])}, {r[0]}, {literal(r[1])})" for r in rows[20:]))
+    return engine.sql("SELECT * FROM ports")
 
 
 def arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = _engine(spark)
-    engine.create_table_typed("t", TYPED)
-    engine.append_arrow("t", pa.table({"tag": ["a", None, "b"], "extra": [1, 2, 3], "ts": pa.array([1000, 1001, 1002], pa.int64()), "flag": [True, None, False], "temp": [1.0, 2.0, None]}))
-    return engine.range("t", *ALL)
+    """Columns by name in any order; one that the table has not is passed over."""
+    engine, rows = _engine(spark), ports(spark, sf_dir)
+    engine.create_table_typed("ports", PORTS)
+    engine.append_arrow("ports", _arrow(rows, extra=True))
+    return engine.range("ports", *ALL)
+
+
+def _arrow(rows: list[tuple], extra: bool = False) -> pa.Table:
+    times, *columns = (list(c) for c in zip(*rows, strict=True))
+    named = dict(zip([n for n, _ in PORTS], columns, strict=True))
+    more = {"weight": list(range(len(rows)))} if extra else {}
+    return pa.table({"coastal": named["coastal"], **more, "ts": pa.array(times, pa.int64()), "share": named["share"], "name": named["name"], "region": pa.array(named["region"], pa.int64())})
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +148,8 @@ def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_distinct(SEQ).alias("distinct_n"), (F.max(F.when(F.col("ts_ms") < CUTOFF - 86_400_000, F.col(SEQ))) < F.min(F.when(F.col("ts_ms") >= CUTOFF - 86_400_000, F.col(SEQ)))).alias("in_order"))
 
 
+PORTS_SQL = f"""SELECT {DAY} * (CAST(n_nationkey AS BIGINT) - 5) AS ts_ms, CASE WHEN n_regionkey <> 2 THEN n_name END AS name, CAST(n_regionkey AS BIGINT) AS region,
+CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey AS DOUBLE) / 8 END AS share, CASE WHEN n_nationkey % 7 <> 0 THEN n_nationkey % 3 = 0 END AS coastal FROM nation"""
 _ROWS = f"SELECT ts_ms, event_id, user_id, event_type, value, bought FROM {EV}"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "typed_roundtrip_nulls": typed_roundtrip,
@@ -144,9 +169,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequence_numbers": sequence,
 }
 SQL = {
-    "typed_roundtrip_nulls": "SELECT CAST(t AS BIGINT) AS ts_ms, CAST(v AS DOUBLE) AS temp, f AS flag, s AS tag FROM (VALUES (1000, 1.0, true, 'a'), (1001, 2.0, NULL, NULL), (1002, NULL, false, 'b'), (999, -0.5, false, 'é')) x(t, v, f, s)",
-    "sql_create_insert": "SELECT CAST(t AS BIGINT) AS ts, CAST(t AS BIGINT) AS ts_ms, CAST(a AS BIGINT) AS a, b, c, CAST(d AS DOUBLE) AS d FROM (VALUES (1000, 1, true, 'x', 1.5), (1001, NULL, false, 'it''s, y', 2.0), (1002, NULL, NULL, 'z', 3.5), (1003, NULL, NULL, 'w', 4.5)) x(t, a, b, c, d)",
-    "append_batch_arrow": "SELECT CAST(t AS BIGINT) AS ts_ms, CAST(v AS DOUBLE) AS temp, f AS flag, s AS tag FROM (VALUES (1000, 1.0, true, 'a'), (1001, 2.0, NULL, NULL), (1002, NULL, false, 'b')) x(t, v, f, s)",
+    "typed_roundtrip_nulls": PORTS_SQL,
+    "sql_create_insert": f"SELECT ts_ms AS ts, ts_ms, name, CASE WHEN ts_ms < {15 * DAY} THEN region END AS region, CASE WHEN ts_ms < {15 * DAY} THEN share END AS share, coastal FROM ({PORTS_SQL})",
+    "append_batch_arrow": PORTS_SQL,
     "append_points": "SELECT 1000 - i % 7 AS ts_ms, CAST(i AS DOUBLE) AS value FROM range(20) x(i) WHERE 1000 - i % 7 BETWEEN 995 AND 999",
     "append_dataframe": _ROWS,
     "snapshot_scan": _ROWS,

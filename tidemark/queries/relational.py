@@ -36,7 +36,7 @@ _BOTH: dict[str, str | tuple[str, str]] = {
     "join_right": "SELECT d.doc_id, l.quality FROM labels l RIGHT JOIN documents d ON l.doc_id = d.doc_id",
     "join_full": "SELECT p_partkey, s_suppkey FROM (SELECT * FROM part WHERE p_partkey > 40) p FULL JOIN (SELECT * FROM supplier WHERE s_suppkey <= 80) s ON p_partkey = s_suppkey",
     "join_semi": ("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 350000", "SELECT c_custkey FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 350000) o ON c_custkey = o_custkey"),
-    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
+    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 350000", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 350000"),
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey",
     "join_using": "SELECT doc_id, quality, source FROM documents JOIN labels USING (doc_id)",
@@ -87,7 +87,7 @@ _BOTH: dict[str, str | tuple[str, str]] = {
     "subq_scalar": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.9 FROM orders)",
     "subq_correlated": "SELECT s_suppkey FROM supplier s WHERE s_acctbal = (SELECT max(s_acctbal) FROM supplier x WHERE x.s_nationkey = s.s_nationkey)",
     "subq_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
-    "subq_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "subq_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     "cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT c_name, round(total, 2) AS total FROM big JOIN customer ON o_custkey = c_custkey WHERE total > 2000000",
     "cte_recursive": "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
     "unnest": ("SELECT n_nationkey, w FROM nation LATERAL VIEW explode(split(n_name, '_')) x AS w", "SELECT n_nationkey, unnest(string_split(n_name, '_')) AS w FROM nation"),

@@ -92,7 +92,7 @@ def right_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def right_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = read(spark, sf_dir, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
     return joins.right_anti(orders, read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name")
 
 
@@ -121,6 +121,7 @@ QUERIES = {
     "ts_alias": sql(f"SELECT ts, ts_ms, value FROM (SELECT ts_ms AS ts, ts_ms, value FROM ev) WHERE ts >= {START}"),
     "projection_only": lambda spark, sf_dir: events(spark, sf_dir).select("event_type", "value"),
     "timestamp_literal": sql("SELECT event_id, ts_ms FROM ev WHERE ts_ms >= unix_millis(TIMESTAMP '2024-01-15 00:00:00')"),
+    "timestamp_literal_micros": sql("SELECT event_id, ts_ms FROM ev WHERE timestamp_millis(ts_ms) > TIMESTAMP '2024-01-15 00:00:00.000500' AND ts_ms < unix_micros(TIMESTAMP '2024-01-16 00:00:00.000999') DIV 1000"),
     "asof_join": asof,
     "range_join": ranges,
     "gap_fill": filled,
@@ -155,6 +156,7 @@ SQL = {
     "ts_alias": f"SELECT ts_ms AS ts, ts_ms, value FROM {EV} WHERE ts_ms >= {START}",
     "projection_only": "SELECT event_type, value FROM events",
     "timestamp_literal": f"SELECT event_id, ts_ms FROM {EV} WHERE ts_ms >= 1705276800000",
+    "timestamp_literal_micros": f"SELECT event_id, ts_ms FROM {EV} WHERE ts_ms BETWEEN 1705276800001 AND 1705363199999",
     "asof_join": f"SELECT l.event_id, l.user_id, l.ts_ms, r.value AS seen FROM (SELECT * FROM {EV} WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT * FROM {EV} WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.ts_ms >= r.ts_ms",
     "range_join": f"SELECT p.event_id, s.event_id AS span_id FROM {EV} p, {EV} s WHERE p.event_type = 'error' AND s.event_type = 'signup' AND p.ts_ms BETWEEN s.ts_ms AND s.ts_ms + {HOUR}",
     "gap_fill": f"""WITH b AS (SELECT event_type, {_BUCKET.format(s=6 * HOUR)} AS bucket, max(value) AS top FROM {EV} GROUP BY 1, 2),
@@ -166,5 +168,5 @@ SELECT user_id, session, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*)
     "win_groups_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM part",
     "distinct_on": f"SELECT DISTINCT ON (user_id) user_id, event_id, value FROM {EV} ORDER BY user_id, ts_ms DESC, event_id",
     "join_right_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
-    "join_right_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "join_right_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)",
 }

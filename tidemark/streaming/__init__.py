@@ -13,9 +13,11 @@ from tidemark.types import TS
 def append_stream(engine: Engine, table: str, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
     """Appends a stream with the table's columns, a commit for each micro-batch.
 
-    A batch that is tried again after a failure between its commit and the checkpoint is appended again: at least once.
+    The commit holds the number of the checkpoint's last batch, so a batch that is tried again after a failure is not
+    appended twice: each row is in the table exactly once.
     """
-    return stream.writeStream.foreachBatch(lambda batch, _: engine.append_dataframe(table, batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    name = checkpoint.rstrip("/")
+    return stream.writeStream.foreachBatch(lambda batch, number: engine.append_dataframe(table, batch, (name, number)) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def bucketed(stream: DataFrame, step_ms: int, late_ms: int, *aggregates: Column, by: tuple[str, ...] = ()) -> DataFrame:
