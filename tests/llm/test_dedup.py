@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,15 @@ def test_suffixes_contract(spark, odd_rows, empty):
     assert suffixes.deduplicate(empty).count() == 0
 
 
+def test_suffixes_sql(spark, sf):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        found = c.execute(suffixes.OP3_SQL)
+        names, expected = [d[0] for d in found.description], sorted(found.fetchall())
+    got = suffixes.op3_suffixes(spark, sf).select(*names).collect()
+    assert sorted(map(tuple, got)) == expected and sum(r.n_removed > 0 for r in got) > 10
+
+
 def test_suffixes_rows_without_id_and_repeated_rows(spark):
     text = words(random.Random(2), 60)
     found = suffixes.deduplicate(spark.createDataFrame([(5, text), (5, text), (None, text), (7, text)], "doc_id long, text string")).collect()

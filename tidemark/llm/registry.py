@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vectors": vectors.OP1_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+    return {"op1_vectors": vectors.OP1_SQL, "op3_suffixes": suffixes.OP3_SQL, "op7_decontaminate": decontaminate.OP7_SQL}

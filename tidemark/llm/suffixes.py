@@ -211,7 +211,7 @@ def answer_strings(part: pd.DataFrame) -> pd.DataFrame:
         # whole groups at a time
         a = int(np.searchsorted(of[several], of[several[lo]], "left")) if lo else 0
         b = int(np.searchsorted(of[several], of[several[min(lo + (1 << 16), len(several)) - 1]], "right")) if lo + (1 << 16) < len(several) else len(several)
-        _compare(several[a:b], bytes_[first], left[first], right[first], of, least, best)
+        _compare(several[a:b], bytes_[first], left[first], right[first], least, best)
     kinds = np.empty(len(order), np.int64)
     kinds[order] = kind
     rows, at = [], 0
@@ -221,21 +221,36 @@ def answer_strings(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": part["part"], "segment": part["segment"], "level": 2, "answer": rows})
 
 
-def _compare(at: np.ndarray, bytes_: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, least: np.ndarray, best: np.ndarray) -> None:
-    """For suffixes that share a leading token: equal strings, by what stands before and after it, get their smallest document."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    after, before = np.zeros((LENGTH + 1, len(at)), np.uint64), np.zeros((PLACES, len(at)), np.uint64)
-    for k in range(LENGTH):
-        after[k + 1] = (after[k] + bytes_[at, k].astype(np.uint64) + np.uint64(1)) * base
-    for k in range(PLACES - 1):
-        before[k + 1] = (before[k] + bytes_[at, LENGTH + k].astype(np.uint64) + np.uint64(1)) * base
-    seed = mixed(group[at].astype(np.uint64))
+def _common(rows: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row has in common with the one before it; -1 for the first."""
+    out = np.full(len(rows), -1)
+    for lo in range(1, len(rows), 1 << 16):
+        hi = min(len(rows), lo + (1 << 16))
+        differ = rows[lo:hi] != rows[lo - 1 : hi - 1]
+        out[lo:hi] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return out
+
+
+def _compare(at: np.ndarray, bytes_: np.ndarray, left: np.ndarray, right: np.ndarray, least: np.ndarray, best: np.ndarray) -> None:
+    """For suffixes in order that share their leading tokens with others: equal strings get their smallest document.
+
+    A string that starts x bytes before a lead has LENGTH - x bytes from there on. Neighbours in the order of suffixes that
+    have so many bytes in common are alike after the lead; neighbours in the order of what stands before it, read
+    backwards, that have x in common are alike before it. Strings that are both are equal, byte by byte.
+    """
+    after = _common(bytes_[at, :LENGTH])
+    behind = np.zeros((len(at), -(-(PLACES - 1) // 8) * 8), np.uint8)
+    behind[:, : PLACES - 1] = bytes_[at, LENGTH : LENGTH + PLACES - 1]
+    order = multikey_order(_words(behind))
+    before = _common(behind[order][:, : PLACES - 1])
+    same_before = np.empty(len(at), np.int64)
     for x in range(PLACES):
         has = np.flatnonzero((left[at] >= x) & (right[at] >= LENGTH - x))
         if not len(has):
             continue
-        key = mixed(mixed(after[LENGTH - x, has] + seed[has]) + before[x, has])
-        _, inverse = np.unique(key, return_inverse=True)
+        same_after = np.cumsum(after < LENGTH - x)
+        same_before[order] = np.cumsum(before < x)
+        _, inverse = np.unique((same_after * (len(at) + 1) + same_before)[has], return_inverse=True)
         low = np.full(inverse.max() + 1, NO_ID)
         np.minimum.at(low, inverse, least[at[has]])
         best[at[has], x] = low[inverse]
@@ -316,8 +331,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Suffixes are sampled by content, so that each string is reached from one suffix (see Suffixes). A first exchange finds
     the leading tokens that more than one document has; only their suffixes go on. They are partitioned by range of their
-    leading bytes, with splitters sampled from all segments, sorted locally by multikey quicksort, and strings with equal
-    leading tokens are compared. Splitters are compared with the bytes that the token begins with, so equal tokens never
+    leading bytes, with splitters sampled from all segments, sorted locally by their bytes, a word of
+    eight at a time where all before are equal (multikey_order), and neighbours are compared, in this order and in that of what
+    stands before them. Hashes only choose what is compared, and stand for suffixes that are equal within a segment. Splitters are compared with the bytes that the token begins with, so equal tokens never
     stand on both sides of a boundary. A segment of documents sends each distinct suffix once, with its smallest document;
     a passage that many documents share has one row for each segment.
 
@@ -343,3 +359,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read(spark, sf_dir, "documents")).drop("kept")
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS f FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+later AS (SELECT doc_id, i FROM s JOIN first USING (s) WHERE f < doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS new FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+bounds AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, len(h) // 2, NULL FROM d),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST), 0) AS start FROM bounds),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY a, b NULLS LAST) AS kept, coalesce(sum(b - a), 0) AS n_removed, count(b) AS n_spans FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN kept USING (doc_id)
+"""
