@@ -104,7 +104,7 @@ class Plan:
     def __init__(self, docs: DataFrame, weights: tuple[float, ...], cap: int):
         spark = docs.sparkSession
         ready(spark)
-        few = stored(docs.select(_source(F.col("source")).alias("skey"), _size(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark")), "sizes")
+        self.sizes = few = stored(docs.select("doc_id", _source(F.col("source")).alias("skey"), _size(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark")), "sizes")
         bins = stored(few.groupBy("skey", "size").agg(F.count("*").alias("n")), "bins")
         rows = bins.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("n").alias("n")).take(MOST_SOURCES + 1)
         if len(rows) > MOST_SOURCES:
@@ -132,13 +132,13 @@ class Plan:
         last = last.select("skey", "size", "salt", F.col("mark").alias("upto"))
         full = plans.join(last, ["skey", "size", "salt"], "left").select("skey", "size", "salt", "of", F.floor(F.col("copies") / F.col("n")).alias("least"), "upto", "source_size", "target")
         self.rows = stored(full, "plan")
-        spent(few, bins, dealt, counts, plans)
+        spent(bins, dealt, counts, plans)
 
     def salt(self, mark: Column, of: Column) -> Column:
         return F.pmod(mark, F.ceil(of / self.group)).cast("long")
 
-    def put(self, docs: DataFrame) -> DataFrame:
-        """docs with a column that its own columns don't have, a struct (mark, size, source_size, target, copies); its name is fresh(docs).
+    def put(self, docs: DataFrame, source: Column, size: Column, mark: Column) -> DataFrame:
+        """docs, whose sources, sizes and marks are given, with a column that its own columns don't have, a struct (mark, size, source_size, target, copies); its name is fresh(docs).
 
         The plan has a row for each source, size and salt. Up to MOST_SENT of them travel to all tasks and the documents stay
         where they are; more are joined by a shuffle.
@@ -147,8 +147,7 @@ class Plan:
         one = self.rows.groupBy("skey", "size").agg(F.any_value("source_size").alias("source_size"), F.any_value("target").alias("target"), F.any_value("of").alias("of"), F.map_from_entries(F.collect_list(F.struct("salt", F.struct("least", "upto")))).alias("salts"))
         one = stored(one.select(F.struct("skey", "size").alias(f"{name}key"), F.struct("source_size", "target", "of", "salts").alias(f"{name}value")), "plan-by-size")
         small = self.rows.count() <= MOST_SENT
-        mine = F.struct(_source(F.col("source")).alias("skey"), _size(F.col("text")).alias("size"))
-        keyed = docs.withColumn(name, F.struct(F.xxhash64("doc_id", "text").alias("mark"), mine.alias("mine")))
+        keyed = docs.withColumn(name, F.struct(mark.alias("mark"), F.struct(source.alias("skey"), size.alias("size")).alias("mine")))
         joined = keyed.join(F.broadcast(one) if small else one.hint("merge"), F.col(f"{name}.mine") == F.col(f"{name}key"))
         value, mark = F.col(f"{name}value"), F.col(f"{name}.mark")
         deal = value["salts"][self.salt(mark, value["of"])]
@@ -170,8 +169,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -
     text has size 0 and no copies. Repeated rows are taken alike, which may take a copy of each more. An empty
     table gives no rows. Columns of docs other than doc_id, text and source are not read.
     """
-    docs = docs.select("doc_id", "text", "source")
-    return Plan(docs, weights, cap).put(docs).select("doc_id", *(f"{fresh(docs)}.{c}" for c in ("mark", "size", "source_size", "target", "copies")))
+    plan = Plan(docs, weights, cap)
+    found = plan.put(plan.sizes, F.col("skey"), F.col("size"), F.col("mark"))
+    return found.select("doc_id", *(f"{fresh(plan.sizes)}.{c}" for c in ("mark", "size", "source_size", "target", "copies")))
 
 
 def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -179,7 +179,8 @@ def taken(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3)
 
     Columns of docs by these names are replaced; all else of mix() holds.
     """
-    found, name, added = Plan(docs, weights, cap).put(docs), fresh(docs), ["size", "source_size", "target", "copies"]
+    plan, name, added = Plan(docs, weights, cap), fresh(docs), ["size", "source_size", "target", "copies"]
+    found = plan.put(docs, _source(F.col("source")), _size(F.col("text")), F.xxhash64("doc_id", "text"))
     found = found.where(F.col(f"{name}.copies") > 0)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*added, "taken")]
     return found.select(*kept, *(f"{name}.{c}" for c in added), (F.col(f"{name}.copies") * F.col(f"{name}.size")).alias("taken"))
