@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -13,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import ready, chunks, read, stored, utf8
-from tidemark.llm.tokens import LOWER, prefix, runs, span_hashes
+from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 
-#: Bytes of text that one index segment covers, and of benchmark items that one search takes along.
-SEGMENT_BYTES, BLOCK_BYTES = 16 << 20, 32 << 20
+#: Bytes of text that one index segment covers (a row counts as ROW_BYTES more), and of benchmark items that one search takes along.
+SEGMENT_BYTES, ROW_BYTES, BLOCK_BYTES = 8 << 20, 64, 32 << 20
+#: Windows, and places of their rarest terms, that a search holds at a time.
+WINDOWS, PAIRS = 1 << 16, 1 << 19
 
 #: Letters and digits of ASCII and all bytes above it make words.
 KIND = np.zeros(256, np.uint8)
@@ -34,28 +35,68 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return span_hashes(prefix(low), starts, ends), np.searchsorted(starts, offsets[:-1]), np.searchsorted(starts, offsets[1:])
 
 
+def item_words(items: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the items' texts, one item after the other, and where each item begins and ends."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for batch in items.select(["text"]).to_batches():
+        raw, offsets = utf8(batch.column(0))
+        for a, b in chunks(offsets):
+            h, lo, hi = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            hashes.append(h)
+            counts.append(hi - lo)
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
+
+
 class Phrases:
-    """Test windows as term numbers: of window consecutive item words, or of the whole item if it has fewer."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        raw, offsets = utf8(pa.array([t for _, t in items], pa.string()))
-        hashes, lo, hi = words(raw, offsets)
-        self.terms, numbers = np.unique(hashes, return_inverse=True)
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for (item, _), a, b in zip(items, lo, hi, strict=True):
-            for at in range(a, max(a, b - window) + 1) if b > a else ():
-                found[tuple(numbers[at : min(b, at + window)].tolist())].add(item)
-        self.window, self.windows, self.items = window, list(found), [sorted(x) for x in found.values()]
-        self.matrix = np.full((len(found), window), len(self.terms), np.int32)
-        for i, w in enumerate(self.windows):
-            self.matrix[i, : len(w)] = w
+    """Test windows as term numbers: of window consecutive item words, or of the whole item if it has fewer.
+
+    Windows are places in the sequence of all items' words, equal ones are held once. owners: for each window, from bounds[i]
+    to bounds[i + 1], the numbers of the items' names.
+    """
+
+    def __init__(self, items: pa.Table, window: int, terms: np.ndarray | None = None):
+        hashes, ends = item_words(items)
+        self.window, self.terms = window, np.unique(hashes) if terms is None else terms
+        self.words = np.searchsorted(self.terms, hashes).astype(np.int32)
+        self.names, name = np.unique(np.array(items["item"].to_pylist(), object), return_inverse=True)
+        count = np.diff(ends)
+        each = np.where(count > 0, np.maximum(count - window, 0) + 1, 0)
+        of = np.repeat(np.arange(len(count)), each)
+        start = ends[of] + np.arange(len(of)) - (np.cumsum(each) - each)[of]
+        size = np.minimum(count, window)[of]
+        # Equal windows have equal hashes; one whose words differ from those of the first with its hash stays on its own.
+        _, first, same = np.unique(self._hashes(start, size), return_index=True, return_inverse=True)
+        first = first[same]
+        apart = size != size[first]
+        for j in range(window):
+            there = ~apart & (j < size)
+            apart[there] |= self.words[start[there] + j] != self.words[start[first[there]] + j]
+        first = np.where(apart, np.arange(len(start)), first)
+        held, number = np.unique(first, return_inverse=True)
+        self.start, self.size = start[held], size[held].astype(np.int32)
+        pair = np.unique(number.astype(np.int64) * max(len(self.names), 1) + name[of])
+        self.owners = (pair % max(len(self.names), 1)).astype(np.int32)
+        self.bounds = np.searchsorted(pair // max(len(self.names), 1), np.arange(len(held) + 1))
+
+    def _hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = size.astype(np.uint64)
+        for j in range(self.window):
+            there = j < size
+            h[there] = mixed(h[there]) + self.words[start[there] + j].astype(np.uint64)
+        return h
+
+    def matrix(self, a: int, b: int) -> np.ndarray:
+        """Terms of the windows from number a to b; len(self.terms) stands behind the end of shorter ones."""
+        offset = np.arange(self.window)
+        there = offset < self.size[a:b, None]
+        return np.where(there, self.words[np.where(there, self.start[a:b, None] + offset, 0)], len(self.terms))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for words that no item has."""
         if not len(self.terms):
-            return np.full(len(hashes), -1)
+            return np.full(len(hashes), -1, np.int32)
         at = np.searchsorted(self.terms, hashes).clip(max=len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
+        return np.where(self.terms[at] == hashes, at, -1).astype(np.int32)
 
 
 def index(phrases: Phrases):
@@ -65,36 +106,35 @@ def index(phrases: Phrases):
     """
 
     def segment(parts: list) -> pa.RecordBatch:
-        ids = [x for p in parts for x in p[0]]
-        marks, n_words = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        ids, marks = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
+        n_words = np.concatenate([p[2] for p in parts])
         base = np.concatenate([[0], np.cumsum(n_words + phrases.window)])
         first = np.cumsum([0, *(len(p[2]) for p in parts)])
         term, place = [], []
-        for f, (_, _, n, numbers) in zip(first, parts, strict=False):
-            own = np.repeat(base[f : f + len(n)] - (np.cumsum(n) - n), n) + np.arange(len(numbers))
-            hit = numbers >= 0
-            term.append(numbers[hit])
-            place.append(own[hit])
+        for f, (_, _, n, at, numbers) in zip(first, parts, strict=False):
+            doc = np.searchsorted(np.cumsum(n), at, "right")
+            term.append(numbers)
+            place.append(base[f + doc] - (np.cumsum(n) - n)[doc] + at)
         term, place = np.concatenate(term), np.concatenate(place)
         order = np.argsort(term, kind="stable")
         term, place = term[order], place[order]
         terms, starts, counts = np.unique(term, return_index=True, return_counts=True)
         gaps = np.diff(place, prepend=0)
         gaps[starts] = place[starts]
-        row = {"segment": [uuid.uuid4().hex], "doc_id": [ids], "text_hash": [marks], "n_words": [n_words.astype(np.int32)], "terms": [terms.astype(np.int32)], "counts": [counts.astype(np.int32)], "gaps": [gaps.astype(np.int32)]}
-        kinds = {"segment": pa.string(), "doc_id": pa.list_(pa.int64()), "text_hash": pa.list_(pa.int64())}
-        return pa.record_batch([pa.array(v, kinds.get(k, pa.list_(pa.int32()))) for k, v in row.items()], names=list(row))
+        one = lambda x, kind: pa.ListArray.from_arrays([0, len(x)], pa.array(x, kind))
+        row = {"segment": pa.array([uuid.uuid4().hex]), "doc_id": one(ids, pa.int64()), "text_hash": one(marks, pa.int64())}
+        return pa.record_batch(row | {k: one(v, pa.int32()) for k, v in (("n_words", n_words), ("terms", terms), ("counts", counts), ("gaps", gaps))})
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            marks = batch.column(2).to_numpy(zero_copy_only=False)
             for a, b in chunks(offsets):
                 hashes, lo, hi = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                parts.append((ids[a:b], marks[a:b], hi - lo, phrases.numbers(hashes)))
-                size += int(offsets[b] - offsets[a])
+                numbers = phrases.numbers(hashes)
+                at = np.flatnonzero(numbers >= 0)
+                parts.append((batch.column(0)[a:b], batch.column(2)[a:b], hi - lo, at.astype(np.int32), numbers[at]))
+                size += int(offsets[b] - offsets[a]) + ROW_BYTES * (b - a)
                 if size >= SEGMENT_BYTES:
                     yield segment(parts)
                     parts, size = [], 0
@@ -105,12 +145,11 @@ def index(phrases: Phrases):
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, int] = defaultdict(int)
+    total, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
     for batch in batches:
-        for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for t, n in zip(terms, counts, strict=True):
-                total[t] += n
-    yield pa.record_batch({"term": pa.array(total.keys(), pa.int32()), "n": pa.array(total.values(), pa.int64())})
+        total, at = np.unique(np.concatenate([total, batch.column(0).flatten().to_numpy()]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, batch.column(1).flatten().to_numpy()]), len(total)).astype(np.int64)
+    yield pa.record_batch({"term": pa.array(total, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
 def _near(lists: list[np.ndarray], slop: int) -> list[tuple[int, int]]:
@@ -129,50 +168,90 @@ def _near(lists: list[np.ndarray], slop: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+class Postings:
+    """The postings of a segment: places of all terms in one array, by term and place."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, gaps: np.ndarray, size: int):
+        run = np.cumsum(gaps, dtype=np.int64)
+        ends = np.cumsum(counts, dtype=np.int64)
+        starts = ends - counts
+        self.places = run - np.repeat(run[starts] - gaps[starts], counts)
+        self.first, self.count = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        self.first[terms], self.count[terms] = starts, counts
+        self.keys = np.repeat(terms.astype(np.int64) << 32, counts) | self.places
+
+    def of(self, term: int) -> np.ndarray:
+        return self.places[self.first[term] : self.first[term] + self.count[term]]
+
+    def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        key = term.astype(np.int64) << 32 | place
+        return self.keys[np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)] == key
+
+    def phrases(self, windows: np.ndarray, order: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows (by row) and first places of their exact occurrences: places of each window's rarest term, shifted by its offset,
+        are kept if they are among those of the next one, and so on. end stands behind the end of shorter windows."""
+        rare = windows[np.arange(len(windows)), order[:, 0]]
+        many = np.cumsum(self.count[rare])
+        a = 0
+        while a < len(windows):
+            b = max(a + 1, int(np.searchsorted(many, (many[a - 1] if a else 0) + PAIRS, "right")))
+            n = self.count[rare[a:b]]
+            row = np.repeat(np.arange(a, b), n)
+            at = self.places[np.repeat(self.first[rare[a:b]] - (np.cumsum(n) - n), n) + np.arange(len(row))] - order[row, 0]
+            row, at = row[at >= 0], at[at >= 0]
+            for j in range(1, windows.shape[1]):
+                offset = order[row, j]
+                term = windows[row, offset]
+                fits = (term == end) | self.has(term, at + offset)
+                row, at = row[fits], at[fits]
+            yield row, at
+            a = b
+
+
 def search(phrases: Phrases, count: np.ndarray, slop: int | None = None):
     """For mapInArrow over segments: FOUND rows, one for each document.
 
     A window's posting lists are shifted by the term's offset and intersected, from the rarest term of the corpus on. With
     slop, matches are spans that hold the window's words in any order within so many more places.
     """
-    orders = [sorted(range(len(w)), key=lambda i, w=w: count[w[i]]) for w in phrases.windows]
+    end = len(phrases.terms)
+    often = np.append(count[:end], np.iinfo(np.int64).max)
+
+    def found(postings: Postings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of windows, and the first place and the last + 1 of each match."""
+        present = postings.count > 0
+        present[end] = True
+        for a in range(0, len(phrases.start), WINDOWS):
+            windows = phrases.matrix(a, min(a + WINDOWS, len(phrases.start)))
+            here = np.flatnonzero(present[windows].all(axis=1))
+            if not len(here):
+                continue
+            windows = windows[here]
+            order = np.argsort(often[windows], axis=1, kind="stable")
+            if slop is None:
+                for row, at in postings.phrases(windows, order, end):
+                    yield a + here[row], at, at + phrases.size[a + here[row]]
+            else:
+                for w, terms, first in zip((a + here).tolist(), windows, order, strict=True):
+                    spans = np.array(_near([postings.of(t) for t in terms[first][: phrases.size[w]]], slop), np.int64).reshape(-1, 2)
+                    yield np.full(len(spans), w), spans[:, 0], spans[:, 1]
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 name, ids, marks, n_words, terms, counts, gaps = (batch.column(i)[row] for i in range(7))
                 n_words, terms, counts, gaps = (x.values.to_numpy() for x in (n_words, terms, counts, gaps))
-                ends = np.cumsum(counts)
-                where = {t: (e - n, e) for t, n, e in zip(terms.tolist(), counts.tolist(), ends.tolist(), strict=True)}
-                lists: dict[int, np.ndarray] = {}
-
-                def posting(t: int) -> np.ndarray:
-                    if t not in lists:
-                        lists[t] = np.cumsum(gaps[slice(*where[t])], dtype=np.int64)  # noqa: B023
-                    return lists[t]  # noqa: B023
-
-                has = np.zeros(len(phrases.terms) + 1, bool)
-                has[terms] = has[-1] = True
+                docs = len(n_words)
                 base = np.cumsum(n_words.astype(np.int64) + phrases.window) - n_words - phrases.window
                 spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                items: dict[int, set[str]] = defaultdict(set)
-                for i in np.flatnonzero(has[phrases.matrix].all(axis=1)).tolist():
-                    window, order = phrases.windows[i], orders[i]
-                    if slop is None:
-                        at = posting(window[order[0]]) - order[0]
-                        for j in order[1:]:
-                            if not len(at):
-                                break
-                            other = posting(window[j])
-                            at = at[other[np.searchsorted(other, at + j).clip(max=len(other) - 1)] == at + j]
-                        found = [(p, p + len(window)) for p in at.tolist()]
-                    else:
-                        found = _near([posting(window[j]) for j in order], slop)
-                    for lo, hi in found:
-                        doc = int(np.searchsorted(base, lo, "right")) - 1
-                        spans[doc].append((int(lo - base[doc]), int(hi - base[doc])))
-                        items[doc].update(phrases.items[i])
-                docs = len(n_words)
+                items: dict[int, set[int]] = defaultdict(set)
+                if len(terms):
+                    for window, lo, hi in found(Postings(terms, counts, gaps, end)):
+                        doc = np.searchsorted(base, lo, "right") - 1
+                        for d, a, b in zip(doc.tolist(), (lo - base[doc]).tolist(), (hi - base[doc]).tolist(), strict=True):
+                            spans[d].append((a, b))
+                        for d, w in np.unique(np.stack([doc, window]), axis=1).T.tolist():
+                            items[d].update(phrases.owners[phrases.bounds[w] : phrases.bounds[w + 1]].tolist())
                 yield pa.record_batch(
                     {
                         "segment": pa.array([name.as_py()] * docs, pa.string()),
@@ -181,7 +260,7 @@ def search(phrases: Phrases, count: np.ndarray, slop: int | None = None):
                         "text_hash": marks.values,
                         "n_words": pa.array(n_words, pa.int64()),
                         "spans": pa.array([_merged(spans.get(i, ())) for i in range(docs)], pa.list_(pa.int32())),
-                        "items": pa.array([sorted(items.get(i, ())) for i in range(docs)], pa.list_(pa.string())),
+                        "items": pa.array([sorted(phrases.names[list(items.get(i, ()))].tolist()) for i in range(docs)], pa.list_(pa.string())),
                     }
                 )
 
@@ -204,7 +283,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int |
 
     Builds a positional inverted index of the terms that benchmark has over the whole texts of docs, stored in segments of
     documents, then intersects offset-adjusted posting lists in each segment. Only counts by test term reach the driver.
-    The benchmark travels to the tasks in blocks of BLOCK_BYTES; beyond one block, blocks are searched in turn and merged.
+    The benchmark travels to the tasks in blocks of BLOCK_BYTES; beyond one block, the index is searched for each, and what
+    is found of a document is merged. The driver holds one block and the distinct terms of all.
 
     A null or wordless text has no words and no match; a null or wordless item occurs nowhere; items are joined by their
     id as text, null as empty. Repeated rows are matched each; an empty table of either kind gives no matches.
@@ -213,23 +293,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int |
     ready(spark)
     sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     blocks = max(1, -(-(sized.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // BLOCK_BYTES))
-    found = []
-    for block in range(blocks):
-        phrases = Phrases([tuple(r) for r in sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()], window)
-        built = stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(index(phrases), SEGMENT), "index")
-        count = np.zeros(len(phrases.terms) + 1, np.int64)
-        for r in built.select("terms", "counts").mapInArrow(_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            count[r.term] = r.n
-        found.append(built.mapInArrow(search(phrases, count, slop), FOUND).withColumn("block", F.lit(block)))
+    block = lambda k: sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
+    terms = np.zeros(0, np.uint64)
+    for k in range(blocks):
+        terms = np.union1d(terms, item_words(block(k))[0])
+    phrases = Phrases(sized.limit(0).toArrow(), window, terms)
+    built = stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(index(phrases), SEGMENT), "index")
+    count = np.zeros(len(terms) + 1, np.int64)
+    sums = built.select("terms", "counts").mapInArrow(_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    count[sums["term"].to_numpy()] = sums["n"].to_numpy()
+    found = [built.mapInArrow(search(Phrases(block(k), window, terms), count, slop), FOUND) for k in range(blocks)]
     if blocks == 1:
-        return found[0].drop("block")
-    # The same rows make different segments for each block: they meet by document, copies of a row being alike.
+        return found[0]
     every = found[0]
     for more in found[1:]:
-        every = every.union(more)
-    merge = F.udf(lambda lists: _merged([(x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2)]), "array<int>")
-    both = every.groupBy("doc_id", "text_hash").agg(F.first("segment").alias("segment"), F.first("place").alias("place"), F.first("n_words").alias("n_words"), merge(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("block") == 0).cast("int").alias("times"))
-    return both.withColumn("times", F.explode(F.array_repeat("times", F.col("times")))).select("segment", "place", "doc_id", "text_hash", "n_words", "spans", "items")
+        every = every.union(more.where(F.size("items") > 0))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.struct(F.get("spans", i).alias("lo"), F.get("spans", i + 1).alias("hi")))
+    every = every.withColumn("pairs", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<lo:int,hi:int>>")))
+    both = every.groupBy("segment", "place").agg(*(F.any_value(c).alias(c) for c in ("doc_id", "text_hash", "n_words")), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    last = lambda out: F.element_at(out, -1)
+    union = F.aggregate(
+        "pairs",
+        F.array().cast("array<int>"),
+        lambda out, x: F.when(F.size(out) == 0, F.array(x["lo"], x["hi"])).when(x["lo"] <= last(out), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(last(out), x["hi"])))).otherwise(F.concat(out, F.array(x["lo"], x["hi"]))),
+    )
+    return both.select("segment", "place", "doc_id", "text_hash", "n_words", union.alias("spans"), "items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
