@@ -15,7 +15,7 @@ from tidemark.llm.shared import ready, chunks, read, stored, utf8
 from tidemark.llm.tokens import LOWER, mixed, prefix, runs, span_hashes
 
 #: Bytes of text that one index segment covers (a row counts as ROW_BYTES more), and of benchmark items that one search takes along.
-SEGMENT_BYTES, ROW_BYTES, BLOCK_BYTES = 8 << 20, 64, 32 << 20
+SEGMENT_BYTES, ROW_BYTES, BLOCK_BYTES = 8 << 20, 64, 8 << 20
 #: Windows, and places of their rarest terms, that a search holds at a time.
 WINDOWS, PAIRS = 1 << 16, 1 << 19
 
