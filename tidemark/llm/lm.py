@@ -30,7 +30,7 @@ DISCOUNT, STEP, STEPS = 0.75, 1024, 1 << 15
 SEGMENT_BYTES = 12 << 20
 #: Training tokens after a context beyond which its children are dealt out to several parts, and contexts so dealt at most.
 HOT, MOST_HOT = 1 << 18, 500_000
-SEGMENT = "segment string, doc_id array<long>, held_out array<boolean>, n array<int>, tokens binary, keys binary"
+SEGMENT = "segment string, doc_id array<long>, held_out array<boolean>, n array<int>, tokens binary, places binary, keys binary"
 
 
 def _z(x: np.ndarray) -> bytes:
@@ -54,7 +54,10 @@ def _unsteps(data: bytes) -> np.ndarray:
 
 
 def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, text) to segments: each token as its place among the segment's distinct tokens, frequent ones first."""
+    """(doc_id, held_out, text) to segments: each token as its rank among the segment's distinct tokens, frequent ones first.
+
+    keys: hashes of the distinct tokens in order, which only the first question needs. places: of each rank among the keys.
+    """
 
     def cut(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         tokens, sizes = [], []
@@ -73,9 +76,9 @@ def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(keys), np.int32)
         rank[order] = np.arange(len(keys), dtype=np.int32)
         ids, out = ([x for b in held for x in b.column(k).to_pylist()] for k in (0, 1))
-        row = [[uuid.uuid4().hex], [ids], [out], [np.concatenate(sizes).astype(np.int32)], [_z(rank[at])], [keys[order].tobytes()]]
-        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-        return pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["segment", "doc_id", "held_out", "n", "tokens", "keys"])
+        row = [[uuid.uuid4().hex], [ids], [out], [np.concatenate(sizes).astype(np.int32)], [_z(rank[at])], [_z(order.astype(np.int32))], [_steps(keys)]]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["segment", "doc_id", "held_out", "n", "tokens", "places", "keys"])
 
     held, size = [], 0
     for batch in batches:
@@ -138,7 +141,8 @@ class Level:
         by_id = np.argsort(token_id)
         place = np.empty(len(by_id), np.int64)
         place[by_id] = np.arange(len(by_id))
-        key, self.number, _ = _sorted(rank[mine] * len(token_id) + place[child])
+        key, number, _ = _sorted(rank[mine] * len(token_id) + place[child])
+        self.number = number.astype(np.int32)
         unit_of, child_of = key // len(token_id), key % len(token_id)
         #: Of each n-gram its unit's number, and each token's id; of each unit that is asked its id, part, context's id, and whether it is one of several.
         seen, self.unit, self.children = _sorted(unit_of)
@@ -190,27 +194,26 @@ class Segment:
         get = lambda name: batch.column(name)[i]
         self.name, self.ids = get("segment").as_py(), get("doc_id").values
         self.held, self.n = get("held_out").values.to_numpy(zero_copy_only=False), get("n").values.to_numpy()
-        self.tokens, self.keys = _unz(get("tokens").as_py(), np.int32), np.frombuffer(get("keys").as_py(), np.uint64)
+        self.tokens, self.order = (_unz(get(c).as_py(), np.int32) for c in ("tokens", "places"))
+        self.keys = _unsteps(get("keys").as_py()) if "keys" in batch.schema.names else None
         self.train = ~np.repeat(self.held, self.n)
-        first = np.cumsum(self.n) - self.n
-        self.place = np.arange(len(self.tokens)) - np.repeat(first, self.n)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - np.repeat((np.cumsum(self.n) - self.n).astype(np.int32), self.n)
 
     def ask_words(self, parts: int) -> pa.RecordBatch:
-        part = (self.keys % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((self.keys, part))
-        count = np.bincount(self.tokens[self.train], minlength=len(self.keys)).astype(np.uint32)
-        names, first = np.unique(part[order], return_index=True)
-        rows = [[_steps(self.keys[x]), _z(count[x])] for x in (order[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True))]
+        """A row for each part: tokens' hashes and training counts. Parts are ranges of hashes, so answers come in the order of the hashes."""
+        part = ((self.keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        count = np.empty(len(self.keys), np.uint32)
+        count[self.order] = np.bincount(self.tokens[self.train], minlength=len(self.keys))
+        names, first = np.unique(part, return_index=True)
+        rows = [[_steps(self.keys[a:b]), _z(count[a:b])] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
         return pa.record_batch({"part": pa.array(names, pa.int32()), "segment": pa.array([self.name] * len(names), pa.string()), "level": pa.array([1] * len(names), pa.int32()), "asked": pa.array(rows, pa.list_(pa.binary()))})
 
-    def learn_words(self, rows: list, parts: int) -> None:
+    def learn_words(self, rows: list) -> None:
         """Of each distinct token its training count, its id, and whether other segments have it."""
-        order = np.lexsort((self.keys, (self.keys % np.uint64(parts)).astype(np.int64)))
         rows = sorted((r for r in rows if r["level"] == 1), key=lambda r: r["part"])
-        self.count, self.id, self.shared = (np.empty(len(self.keys), k) for k in (np.int64, np.uint64, bool))
-        both = np.concatenate([_unz(r["answer"][0], np.uint64) for r in rows])
-        self.count[order] = np.concatenate([_unz(r["answer"][1], np.int64) for r in rows])
-        self.id[order], self.shared[order] = both >> np.uint64(1), both & np.uint64(1)
+        both = np.concatenate([_unz(r["answer"][0], np.uint64) for r in rows])[self.order]
+        self.count = np.concatenate([_unz(r["answer"][1], np.int64) for r in rows])[self.order]
+        self.id, self.shared = both >> np.uint64(1), (both & np.uint64(1)).astype(bool)
 
     def level_two(self, parts: int, hot: int) -> Level:
         self.first = np.flatnonzero(self.place >= 1)
@@ -224,10 +227,10 @@ class Segment:
     def level_three(self, two: Level, rows: list, parts: int, span: int, hot_two) -> tuple[tuple, tuple, Level]:
         """What level two answers of its places, what is alone there, and level three."""
         share, rest, more = two.answers([r for r in rows if r["level"] == 2], hot_two)
-        words = len(self.keys)
+        words = len(self.order)
         mine, theirs, number, count = alone(self.only, self.tokens[self.only - 1].astype(np.int64), self.tokens[self.only].astype(np.int64), self.train, words)
         # Pairs as contexts: those asked, then those alone here; 0 slots where no training text has the pair.
-        pair = np.full(len(self.tokens), -1)
+        pair = np.full(len(self.tokens), -1, np.int32)
         pair[two.at], pair[self.only] = two.number, len(two.child) + number
         slots = np.concatenate([more >> np.uint16(1), (count > 0).astype(np.uint16)]).astype(np.int64)
         shared = np.concatenate([more & np.uint16(1), np.zeros(len(count), np.uint16)]) > 0
@@ -401,7 +404,7 @@ def score_texts(docs: DataFrame, held_out: Column, hot: int | None = None) -> Da
 
     def answered(answers: DataFrame) -> DataFrame:
         mine = answers.where("segment is not null").groupBy("segment").agg(F.collect_list(F.struct("part", "level", "answer")).alias("answers"))
-        return cut.join(mine.hint("merge"), "segment")
+        return cut.drop("keys").join(mine.hint("merge"), "segment")
 
     counts = stored(cut.mapInArrow(over(lambda s, _: s.ask_words(parts)), ask).groupBy("part").applyInPandas(lambda p: answer_words(p, parts), f"{answer}, tokens long, types long, top long"), "counts")
     total, types, top = (int(x or 0) for x in counts.agg(F.sum("tokens"), F.sum("types"), F.max("top")).first())
@@ -409,7 +412,7 @@ def score_texts(docs: DataFrame, held_out: Column, hot: int | None = None) -> Da
     one = counts.select("part", "segment", "level", "answer")
 
     def ask_two(s: Segment, rows: list) -> pa.RecordBatch:
-        s.learn_words(rows, parts)
+        s.learn_words(rows)
         return s.level_two(parts, hot).asked(s.name, 2, s.train)
 
     two = stored(answered(one).mapInArrow(over(ask_two), ask).groupBy("part").applyInPandas(lambda p: answer_ngrams(p, hot), answer), "pairs")
@@ -417,7 +420,7 @@ def score_texts(docs: DataFrame, held_out: Column, hot: int | None = None) -> Da
     hot_two = _hot(two)
 
     def ask_three(s: Segment, rows: list) -> pa.RecordBatch:
-        s.learn_words(rows, parts)
+        s.learn_words(rows)
         return s.level_three(s.level_two(parts, hot), rows, parts, span, hot_two)[2].asked(s.name, 3, s.train)
 
     three = stored(answered(one.union(two)).mapInArrow(over(ask_three), ask).groupBy("part").applyInPandas(lambda p: answer_ngrams(p, hot), answer), "triples")
@@ -425,7 +428,7 @@ def score_texts(docs: DataFrame, held_out: Column, hot: int | None = None) -> Da
     hot_three = _hot(three)
 
     def score(s: Segment, rows: list) -> pa.RecordBatch:
-        s.learn_words(rows, parts)
+        s.learn_words(rows)
         two = s.level_two(parts, hot)
         found, lone, three, last = s.level_three(two, rows, parts, span, hot_two)
         base = (s.count[s.tokens] + 1) / (total + types + 1)
