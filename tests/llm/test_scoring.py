@@ -203,6 +203,24 @@ def test_every_minimal_proximity_span():
         assert sorted(decontaminate._near(lists, slop)) == spans, (text, words_, slop)
 
 
+def test_windows_against_dictionaries():
+    """Windows are those of all items, each once, with the names of all items that have them."""
+    rng = random.Random(1)
+    column = lambda x: pa.array(x, pa.string())
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else " ".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(6))]
+        names, window = [str(rng.randrange(4)) for _ in texts], rng.randrange(1, 5)
+        phrases = decontaminate.Phrases(pa.table({"item": column(names), "text": column(texts)}), window)
+        expected = {}
+        for name, text in zip(names, texts, strict=True):
+            numbers = phrases.numbers(decontaminate.item_words(pa.table({"text": column([text])}))[0]).tolist()
+            for i in range(max(0, len(numbers) - window) + 1) if numbers else ():
+                expected.setdefault(tuple(numbers[i : i + window]), set()).add(name)
+        count = len(phrases.start)
+        found = {tuple(w[:n].tolist()): set(phrases.names[phrases.owners[a:b]]) for w, n, a, b in zip(phrases.matrix(0, count), phrases.size, phrases.bounds, phrases.bounds[1:], strict=False)}
+        assert found == expected and len(found) == count
+
+
 def test_decontamination_empty_tables(spark, odd, odd_rows, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, odd_rows[14][1])], "item_id long, text string")
