@@ -5,11 +5,12 @@ import math
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.engine import Engine, Options
 from tidemark.sources.catalog import Catalog
-from tidemark.types import SchemaError
+from tidemark.types import SEQ, SchemaError
 
 
 @pytest.fixture
@@ -256,6 +257,59 @@ def test_statistics(engine):
     assert found["pending_rows"] == 0 and found["tables"][0]["rows"] == 4 and found["maintenance"]["pack_fail"] == 0
 
 
+def test_files_take_no_calls_of_their_own(engine, monkeypatch):
+    """pack() fills its files, and neither it nor statistics call the JVM for each of them: a table may have many thousand."""
+    engine.create_table_typed("moorings", MOORINGS)
+    engine.append_batch("moorings", [k * 7 % 3000 for k in range(3000)], [list(range(3000)), [str(k) for k in range(3000)], [None] * 3000, [True] * 3000])
+    before, calls = rows(engine.range("moorings", 0, 3000)), []
+    client = type(engine.spark.sparkContext._gateway._gateway_client)
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda self, *a, **b: (calls.append(a), send(self, *a, **b))[1])
+    engine.pack_table("moorings", 10)
+    found = engine.diagnostics()["tables"][0]
+    assert 300 <= found["segments"] <= 300 + engine.spark.sparkContext.defaultParallelism and len(calls) < 3000
+    monkeypatch.undo()
+    assert rows(engine.range("moorings", 0, 3000)) == before
+
+
+def test_manifest_tells_what_footers_do(engine):
+    """Rows, bounds and bytes of columns, over more files than are merged at once; a manifest of before tells no bytes."""
+    engine.create_table_typed("moorings", MOORINGS)
+    engine.append_batch("moorings", [k - 600 for k in range(1200)], [list(range(1200)), ["ß" * (k % 9) for k in range(1200)], [None] * 1200, [k % 3 == 0 for k in range(1200)]])
+    engine.pack_table("moorings", 2)
+    (commit,) = engine.catalog.table("moorings").commits
+    sizes = {}
+    files = list(Path(engine.catalog.store.root).rglob(f"{commit.name}/*.parquet"))
+    for f in files:
+        footer = pq.read_metadata(f)
+        for g in range(footer.num_row_groups):
+            for c in map(footer.row_group(g).column, range(footer.num_columns)):
+                sizes[c.path_in_schema] = sizes.get(c.path_in_schema, 0) + c.total_compressed_size
+    read = engine.catalog.frame(engine.catalog.table("moorings")).selectExpr("count(*)", "min(ts_ms)", "max(ts_ms)", f"min(`{SEQ}`)", f"max(`{SEQ}`)").first()
+    assert (commit.rows, commit.min_ts, commit.max_ts, commit.min_seq, commit.max_seq) == tuple(read) and commit.rows == 1200
+    assert commit.stored == sizes and commit.files == len(files) > 500 and commit.stored_bytes == sum(f.stat().st_size for f in files)
+    told, manifest = engine.stats("moorings"), f"{engine.catalog._at('moorings')}/table.json"
+    old = engine.catalog.store.read(manifest)
+    del old["commits"][0]["stored"]
+    engine.catalog.store.write(manifest, old)
+    told.pop("schema_file_bytes")
+    assert told.items() <= again(engine).stats("moorings").items()
+
+
+def test_bounds_without_statistics(engine):
+    """A session may turn Parquet's statistics off; then a commit's bounds are read."""
+    conf = engine.spark.sparkContext._jsc.hadoopConfiguration()
+    conf.setBoolean("parquet.column.statistics.enabled", False)
+    try:
+        engine.create_table("t", ["a"])
+        engine.append_batch("t", [5, -3, 9], [[1.0, 2.0, 3.0]])
+        engine.flush()
+    finally:
+        conf.unset("parquet.column.statistics.enabled")
+    (commit,) = engine.catalog.table("t").commits
+    assert (commit.rows, commit.min_ts, commit.max_ts, commit.max_seq - commit.min_seq) == (3, -3, 9, 2)
+
+
 def test_a_flipped_byte_is_found(engine):
     """Pages carry checksums, which reading verifies: without them one wrong byte could pass."""
     engine.create_table("s", ["value"])

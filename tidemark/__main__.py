@@ -23,9 +23,10 @@ def main(arguments: list[str] | None = None) -> int:
     try:
         engine = Engine(SparkSession.builder.getOrCreate(), given.root)
         if given.command == "pack":
-            before = engine.stats(given.table)["on_disk_bytes"]
+            size = lambda: sum(c.stored_bytes for c in engine.catalog.table(given.table).commits)
+            before = size()
             engine.pack_table(given.table, given.target)
-            print(f"packed {given.table}: target={given.target} size={before} -> {engine.stats(given.table)['on_disk_bytes']} bytes")
+            print(f"packed {given.table}: target={given.target} size={before} -> {size()} bytes")
         else:
             found = engine.diagnostics()
             print(f"path: {given.root}\nlast_seq: {engine.last_seq}\nretention_ms: {engine.retention_ms}")

@@ -15,6 +15,8 @@ from tidemark.types import SEQ, TS
 
 #: Bytes of a value before compression; text counts only where it is stored.
 RAW = {"f64": 8, "i64": 8, "bool": 1, "utf8": 0}
+#: About as many rows, or stored bytes, a task of pack() sorts and writes, one file after another.
+TASK_ROWS, TASK_BYTES = 250_000, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -95,13 +97,16 @@ def should_pack(table: Table, policy: Policy, counters: Counters) -> bool:
 
 
 def _rewrite(catalog: Catalog, table: Table, commits: list[Commit], target_rows: int, most_files: int | None = None) -> None:
-    """Into files of target_rows by ranges of time, so that a file's statistics tell what times it has."""
+    """Into files of target_rows by ranges of time, so that a file's statistics tell what times it has.
+
+    A task writes as many files as its range fills, since starting a task takes longer than sorting a small file's rows.
+    """
     if target_rows <= 0:
         raise ValueError("files must have rows")
     rows = sum(c.rows for c in commits)
     files = max(1, -(-rows // target_rows))
-    files = files if most_files is None else min(files, most_files)
-    part = catalog.frame(Table(table.name, table.columns, commits)).repartitionByRange(files, TS, SEQ).sortWithinPartitions(TS, SEQ)
+    tasks = max(catalog.spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS), -(-sum(c.stored_bytes for c in commits) // TASK_BYTES)) if most_files is None else most_files
+    part = catalog.frame(Table(table.name, table.columns, commits)).repartitionByRange(min(files, tasks), TS, SEQ).sortWithinPartitions(TS, SEQ)
     made = catalog.write(table, part, most_rows_a_file=target_rows if most_files is None else 0)
     catalog.publish(table, [made], commits)
 
@@ -137,9 +142,9 @@ def retain(catalog: Catalog, table: str, cutoff_ms: int) -> None:
 
 
 def stats(catalog: Catalog, table: str) -> dict[str, Any]:
-    """Raw and stored sizes of the flushed rows, from the manifest and the column sizes in the files' footers."""
+    """Raw and stored sizes of the flushed rows, from the manifest alone unless an earlier version wrote it."""
     found = catalog.table(table)
-    stored = _stored(catalog, found)
+    stored = catalog.stored(found)
     rows, files = found.rows, sum(c.files for c in found.commits)
     on_disk = sum(c.stored_bytes for c in found.commits)
     raw_ts, raw_values = 8 * rows, rows * sum(RAW[k] for _, k in found.columns)
@@ -155,33 +160,12 @@ def stats(catalog: Catalog, table: str) -> dict[str, Any]:
     return out
 
 
-def _stored(catalog: Catalog, table: Table) -> dict[str, int]:
-    """Compressed bytes of each column by the footers, which a job reads where the files are."""
-    if not table.commits:
-        return {}
-    spark = catalog.spark
-    paths = [catalog.store.at(f"{catalog._at(table.name)}/{c.name}/{x}") for c in table.commits for x in catalog.store.sizes(f"{catalog._at(table.name)}/{c.name}", ".parquet")]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out: dict[str, int] = {}
-    for path in paths:
-        file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
-        try:
-            for block in reader.getFooter().getBlocks():
-                for column in block.getColumns():
-                    name = column.getPath().toDotString()
-                    out[name] = out.get(name, 0) + column.getTotalSize()
-        finally:
-            reader.close()
-    return out
-
-
 def column_stats(catalog: Catalog, table: str) -> list[dict[str, Any]]:
     """Of each column: logical bytes of its values that aren't null, stored bytes, nulls."""
     found = catalog.table(table)
     sizes = [F.sum(F.octet_length(f"`{n}`")) if k == "utf8" else F.count(f"`{n}`") * RAW[k] for n, k in found.columns]
     row = catalog.frame(found).agg(*(F.coalesce(s, F.lit(0)).alias(f"s{i}") for i, s in enumerate(sizes)), *(F.count(f"`{n}`").alias(f"n{i}") for i, (n, _) in enumerate(found.columns))).first()
-    stored = _stored(catalog, found)
+    stored = catalog.stored(found)
     return [
         {"column": n, "type": k, "logical_bytes": row[f"s{i}"], "stored_bytes": stored.get(n, 0), "compression_ratio": row[f"s{i}"] / stored[n] if stored.get(n) else None, "rows": found.rows, "nulls": found.rows - row[f"n{i}"]}
         for i, (n, k) in enumerate(found.columns)

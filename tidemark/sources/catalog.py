@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from dataclasses import asdict, dataclass, field
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import footers
 from tidemark.sources.files import Store
 from tidemark.types import SEQ, TS, Columns, SchemaError, columns_of, row_schema
 
@@ -25,6 +27,8 @@ class Commit:
     max_ts: int
     min_seq: int
     max_seq: int
+    #: Compressed bytes of each column; manifests of earlier versions don't have them.
+    stored: dict[str, int] | None = None
 
 
 @dataclass(frozen=True)
@@ -86,12 +90,23 @@ class Catalog:
         path = f"{self._at(table.name)}/{name}"
         writer = rows.select(TS, *(n for n, _ in table.columns), SEQ).write.option("compression", "zstd").option("parquet.writer.version", "v2")
         (writer.option("maxRecordsPerFile", most_rows_a_file) if most_rows_a_file else writer).parquet(self.store.at(path))
-        seen = self.spark.read.schema(row_schema(table.columns, True)).parquet(self.store.at(path)).agg(F.count("*"), F.min(TS), F.max(TS), F.min(SEQ), F.max(SEQ)).first()
-        if not seen[0]:
+        files = self.store.files(path, ".parquet")
+        told = footers.summary(self.spark, files, (TS, SEQ))
+        if not told.rows:
             self.store.drop(path)
             return None
-        sizes = self.store.sizes(path, ".parquet")
-        return Commit(name, seen[0], len(sizes), sum(sizes.values()), *seen[1:])
+        if not {TS, SEQ} <= told.least.keys():  # a session may turn Parquet's statistics off
+            bounds = self.spark.read.schema(row_schema(table.columns, True)).parquet(self.store.at(path)).agg(F.min(TS), F.max(TS), F.min(SEQ), F.max(SEQ)).first()
+        else:
+            bounds = (told.least[TS], told.most[TS], told.least[SEQ], told.most[SEQ])
+        return Commit(name, told.rows, told.files, self.store.bytes(path), *bounds, dict(told.stored))
+
+    def stored(self, table: Table) -> dict[str, int]:
+        """Compressed bytes of each column, from the manifest, or from footers where that doesn't tell."""
+        out: Counter[str] = Counter()
+        for c in table.commits:
+            out.update(c.stored if c.stored is not None else footers.summary(self.spark, self.store.files(f"{self._at(table.name)}/{c.name}", ".parquet")).stored)
+        return dict(out)
 
     def publish(self, table: str, added: list[Commit | None], dropped: list[Commit] = (), batch: tuple[str, int] | None = None) -> Table:
         """Swaps the manifest: added commits come in, dropped ones out, a stream's batch is noted, in one step."""

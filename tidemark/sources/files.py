@@ -35,8 +35,16 @@ class Store:
         return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(name))) if self.exists(name) else []
 
     def sizes(self, name: str, suffix: str) -> dict[str, int]:
-        """Bytes of the files directly in a folder."""
-        return {x.getPath().getName(): x.getLen() for x in self.fs.listStatus(self._path(name)) if x.getPath().getName().endswith(suffix)}
+        """Bytes of the files directly in a folder, by calls for each."""
+        return {x.getPath().getName(): x.getLen() for x in self.files(name, suffix)}
+
+    def files(self, name: str, suffix: str):
+        """The files directly in a folder, as an array that stays in the JVM: a call for each of them would take longer than most reads."""
+        return self.fs.listStatus(self._path(name), self._hadoop.fs.GlobFilter(f"*{suffix}"))
+
+    def bytes(self, name: str) -> int:
+        """Bytes of all files in a folder."""
+        return self.fs.getContentSummary(self._path(name)).getLength()
 
     def size(self, name: str) -> int:
         return self.fs.getFileStatus(self._path(name)).getLen() if self.exists(name) else 0
